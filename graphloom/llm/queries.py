@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import secrets
+from graphloom.llm import pii, secrets
 from graphloom.llm.digests import span_digest
 
 
@@ -18,5 +18,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op7_pii": op7_pii}
 ORACLE_SQL: dict[str, str] = {}
