@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import pii, secrets
+from graphloom.llm import pii, quality, secrets, url_filter
 from graphloom.llm.digests import span_digest
 
 
@@ -22,5 +22,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op7_pii": op7_pii}
-ORACLE_SQL: dict[str, str] = {}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op7_pii": op7_pii, "op8_quality": op8_quality}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL}
