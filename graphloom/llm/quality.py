@@ -203,7 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Net
     marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")  # `rows` rows at most
     names = [f"x{i}" for i in range(2 * DIMS + 6)]
 
     def run(batches):
