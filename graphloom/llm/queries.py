@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import pii, quality, secrets, url_filter
+from graphloom.llm import mixing, pieces, pii, quality, secrets, url_filter
 from graphloom.llm.digests import span_digest
 
 
@@ -31,5 +31,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op7_pii": op7_pii, "op8_quality": op8_quality}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_quality": op8_quality}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL}
