@@ -12,6 +12,8 @@ from graphloom.llm.common import stage
 TARGETS = {"q1t0": 0.90, "q1t1": 0.02, "q0t0": 0.07, "q0t1": 0.01}
 #: At most so many labelled rows are fitted, those of least hashed doc_id, and so many words tell a domain from the others.
 FIT_ROWS = 20_000
+#: No document is repeated more often than this.
+MOST = 4.0
 LEXICON = 64
 BINS = 12
 
@@ -101,17 +103,19 @@ def members(docs: DataFrame, model: dict) -> DataFrame:
     return posteriors(rows, model, F.col("doc_id"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """A document's rate after the given steps: each takes p . step off and projects onto rates of 0 or more."""
+def _rate(steps: list[np.ndarray], most: float) -> Column:
+    """A document's rate after the given steps: each takes p . step off and projects onto rates from 0 to `most`."""
     rate = F.lit(1.0)
     if steps:
         rows = F.array(*(_numbers(s) for s in steps))
-        rate = F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)))
+        rate = F.aggregate(rows, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y))))
     return rate
 
 
-def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, budget: float | None = None, rounds: int = 30, tolerance: float = 1e-6) -> tuple[Column, list[np.ndarray]]:
-    """Projected gradient for min |A r - T| over r >= 0, where A r are the expected tokens of the domains and T is budget (all tokens if None) times the targets.
+def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, tilt: dict[str, float] | None = None, budget: float | None = None, most: float = MOST, rounds: int = 30, tolerance: float = 1e-6) -> tuple[Column, list[np.ndarray]]:
+    """Projected gradient for min |A r - T| over 0 <= r <= most, where A r are the expected tokens of the domains and T is budget (all tokens if None) times the targets.
+
+    With tilt, the targets are the domains' own shares times tilt, made to sum to one: always within reach.
 
     The gradient is taken in the metrics of tokens (documents) and of G = A diag(1/tokens) A' (domains), in which a step
     of length 1 can't overshoot. A rate depends on a document's probabilities and the steps so far, so each
@@ -119,21 +123,26 @@ def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = T
     """
     k = len(names)
     t, p = F.col("n_tokens").cast("double"), F.col("p")
+    own = [F.sum(t * p[i]).alias(f"s{i}") for i in range(k)]
     cells = [F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = member.agg(F.sum(t).alias("all"), *cells).first()
+    first = member.agg(F.sum(t).alias("all"), *own, *cells).first()
     total = float(first["all"] or 0)
     gram = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
             gram[i, j] = gram[j, i] = float(first[f"g{i}_{j}"] or 0)
-    want = np.array([targets.get(n, 0.0) for n in names]) * (total if budget is None else budget)
+    share = np.array([targets.get(n, 0.0) for n in names])
+    if tilt is not None:
+        share = np.array([float(first[f"s{i}"] or 0) * tilt.get(n, 1.0) for i, n in enumerate(names)])
+        share = share / max(share.sum(), 1e-300)
+    want = share * (total if budget is None else budget)
     if not total:
         return F.lit(1.0), []
     inverse = np.linalg.pinv(gram + 1e-12 * total * np.eye(k))
     steps: list[np.ndarray] = []
     last = np.inf
     for _ in range(rounds):
-        rate = _rate(steps)
+        rate = _rate(steps, most)
         got = member.select("n_tokens", "p", rate.alias("r")).agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k))).first()
         miss = np.array([float(x or 0) for x in got]) - want
         left = float(miss @ inverse @ miss)
@@ -141,10 +150,10 @@ def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = T
             break
         last = left
         steps.append(inverse @ miss)
-    return _rate(steps), steps
+    return _rate(steps, most), steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, tilt: dict[str, float] | None = None, budget: float | None = None, most: float = MOST) -> DataFrame:
     """One row a document: doc_id, n_tokens, domain (the likeliest), p (probabilities in the order of sorted domain names), rate, n_copies.
 
     n_copies is the rate rounded up or down by a coin of doc_id, so that copies have the rate on average and the same in
@@ -153,7 +162,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """
     model = fit_domains(docs, labels)
     member = stage(members(docs, model))
-    rate, _ = fit_rates(member, model["names"], targets, budget)
+    rate, _ = fit_rates(member, model["names"], targets, tilt, budget, most)
     names = F.array(*map(F.lit, model["names"]))
     coin = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
     out = member.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), "p", rate.alias("rate"))
