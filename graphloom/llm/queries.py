@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from graphloom.llm import collisions, minhash, mixing, pieces, pii, quality, secrets, url_filter
+from graphloom.llm import collisions, minhash, mixing, pieces, pii, quality, secrets, suffix, url_filter
 from graphloom.llm.digests import span_digest
 
 
@@ -48,5 +48,9 @@ def op10_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_quality": op8_quality, "op10_collisions": op10_collisions, "pipeline": corpus_pipeline.run}
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_suffix": op9_suffix, "op10_collisions": op10_collisions, "pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL, "op10_collisions": collisions.SQL}
