@@ -1,0 +1 @@
+"""Pattern analytics over labelled property graphs, as Spark DataFrames."""
