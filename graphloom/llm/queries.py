@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from graphloom.llm import collisions, minhash, mixing, pieces, pii, quality, secrets, suffix, url_filter
+from graphloom.llm import bm25, collisions, minhash, mixing, pieces, pii, quality, secrets, suffix, url_filter
 from graphloom.llm.digests import span_digest
 
 
@@ -36,6 +36,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +57,5 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op3_sentencepiece": op3_sentencepiece, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_suffix": op9_suffix, "op10_collisions": op10_collisions, "pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op3_sentencepiece": op3_sentencepiece, "op4_bm25": op4_bm25, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_suffix": op9_suffix, "op10_collisions": op10_collisions, "pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL, "op10_collisions": collisions.SQL}
