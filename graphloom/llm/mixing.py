@@ -24,7 +24,10 @@ def _words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The number of tokens: runs without white space."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
+    t = F.coalesce(text, F.lit(""))
+    edges = t.rlike(r"^\s").cast("int") + (F.right(t, F.lit(1)).rlike(r"\s") & (F.length(t) > 1)).cast("int")
+    n = F.size(F.split(t, r"\s+")) - edges
+    return F.when(t.rlike(r"^\s*$"), 0).otherwise(n).cast("long")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -36,12 +39,12 @@ def shapes(text: Column) -> Column:
     """A text's five shape features, each a bin from 0 to BINS-1: marks, capitals, digits, line breaks, length."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    lost = lambda chars: n - F.length(F.translate(t, chars, ""))
+    those = lambda chars: F.length(F.regexp_replace(t, f"[^{chars}]+", ""))
     return F.array(
-        _share(lost("#$%&*|!_~^<>{}[]"), n),
-        _share(lost("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n),
-        _share(lost("0123456789"), n),
-        _share(lost("\n"), n),
+        _share(those(r"#$%&*|!_~^<>{}\[\]"), n),
+        _share(those("A-Z"), n),
+        _share(those("0-9"), n),
+        _share(n - F.length(F.replace(t, F.lit("\n"), F.lit(""))), n),
         F.least(F.lit(BINS - 1), F.log2(n + F.lit(1)).cast("int")),
     )
 
@@ -49,9 +52,13 @@ def shapes(text: Column) -> Column:
 N_SHAPES = 5
 
 
+def _all(lexicon: dict[str, list[str]]) -> Column:
+    return F.array(*map(F.lit, sorted({w for ws in lexicon.values() for w in ws}))).cast("array<string>")
+
+
 def _features(text: Column, lexicon: dict[str, list[str]], names: list[str]) -> Column:
-    """Shape bins, then for each domain how many of its telling words the text has, as bins."""
-    hits = [F.least(F.lit(BINS - 1), F.size(F.array_intersect("words", F.array(*map(F.lit, lexicon[d]))))) if lexicon[d] else F.lit(0) for d in names]
+    """Shape bins, then for each domain how many of its telling words are among hits, as bins."""
+    hits = [F.least(F.lit(BINS - 1), F.size(F.array_intersect("hits", F.array(*map(F.lit, lexicon[d]))))) if lexicon[d] else F.lit(0) for d in names]
     return F.concat(shapes(text), F.array(*hits))
 
 
@@ -74,7 +81,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dic
     words = sample.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(*count, F.count("*").alias("n")).where(f"n >= {max(3, int(total.sum() // 1000))}")
     lexicon = {d: [r.word for r in words.select("word", c.alias("chi")).where("chi > 15").orderBy(F.desc("chi"), "word").limit(LEXICON).collect()] for d, c in zip(names, chi, strict=True)}
     bins = np.ones((N_SHAPES + len(names), BINS, len(names)))
-    for r in sample.select("domain", F.posexplode(_features(F.col("text"), lexicon, names)).alias("f", "bin")).groupBy("f", "bin").agg(*count).collect():
+    for r in sample.withColumn("hits", F.array_intersect("words", _all(lexicon))).select("domain", F.posexplode(_features(F.col("text"), lexicon, names)).alias("f", "bin")).groupBy("f", "bin").agg(*count).collect():
         bins[r.f, r.bin] += [r[d] for d in names]
     return {"names": names, "prior": np.log(share), "bins": np.log(bins / bins.sum(1, keepdims=True)), "lexicon": lexicon}
 
@@ -84,31 +91,37 @@ def _numbers(x) -> Column:
 
 
 def posteriors(docs: DataFrame, model: dict, *keep: Column) -> DataFrame:
-    """The kept columns and p, the text's domain probabilities in the order of model['names']."""
+    """The kept columns and p0, p1, ..., the text's domain probabilities in the order of model['names']."""
     names, bins = model["names"], model["bins"]
-    used = docs.select(*keep, "text", F.array_distinct(_words(F.coalesce("text", F.lit("")))).alias("words"))
-    kept = [c for c in used.columns if c not in ("text", "words")]
+    used = docs.select(*keep, "text", F.array_intersect(_words(F.coalesce("text", F.lit(""))), _all(model["lexicon"])).alias("hits"))
+    kept = [c for c in used.columns if c not in ("text", "hits")]
     used = used.select(*kept, _features(F.col("text"), model["lexicon"], names).alias("bins"))
-    flat = [_numbers(bins[:, :, d].ravel()) for d in range(len(names))]
-    logits = [F.aggregate(F.transform("bins", lambda b, f: f * BINS + b + 1), F.lit(float(model["prior"][d])), lambda acc, i: acc + F.element_at(flat[d], i)) for d in range(len(names))]
-    used = used.select(*kept, F.array(*logits).alias("logits"))
-    powers = F.transform("logits", lambda x: F.exp(x - F.array_max("logits")))
-    used = used.select(*kept, powers.alias("powers"))
-    return used.select(*kept, F.transform("powers", lambda x: x / F.aggregate("powers", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    places = [F.element_at("bins", f + 1).alias(f"b{f}") for f in range(len(bins))]
+    used = used.select(*kept, *places)
+    for d in range(len(names)):
+        logit = F.lit(float(model["prior"][d]))
+        for f in range(len(bins)):
+            logit = logit + F.element_at(_numbers(bins[f, :, d]), F.col(f"b{f}") + 1)
+        used = used.withColumn(f"l{d}", logit)
+    logits = [F.col(f"l{d}") for d in range(len(names))]
+    used = used.select(*kept, *(F.exp(x - F.greatest(*logits)).alias(f"e{d}") for d, x in enumerate(logits)))
+    total = sum((F.col(f"e{d}") for d in range(1, len(names))), F.col("e0"))
+    return used.select(*kept, *((F.col(f"e{d}") / total).alias(f"p{d}") for d in range(len(names))))
 
 
 def members(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens and p, the domain probabilities, of each document."""
+    """doc_id, n_tokens and p0, p1, ... of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return posteriors(rows, model, F.col("doc_id"), tokens(F.col("text")).alias("n_tokens"))
 
 
 def _rate(steps: list[np.ndarray], most: float) -> Column:
-    """A document's rate after the given steps: each takes p . step off and projects onto rates from 0 to `most`."""
+    """A document's rate after the given steps: each takes p . step off and projects onto rates from 0 to `most`. Plain arithmetic, for generated code."""
     rate = F.lit(1.0)
-    if steps:
-        rows = F.array(*(_numbers(s) for s in steps))
-        rate = F.aggregate(rows, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y))))
+    for step in steps:
+        for d, x in enumerate(step):
+            rate = rate - F.col(f"p{d}") * float(x)
+        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate))
     return rate
 
 
@@ -122,7 +135,7 @@ def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = T
     round is one aggregate to len(names) sums over an unchanging table, and no round writes anything.
     """
     k = len(names)
-    t, p = F.col("n_tokens").cast("double"), F.col("p")
+    t, p = F.col("n_tokens").cast("double"), [F.col(f"p{d}") for d in range(k)]
     own = [F.sum(t * p[i]).alias(f"s{i}") for i in range(k)]
     cells = [F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     first = member.agg(F.sum(t).alias("all"), *own, *cells).first()
@@ -143,7 +156,7 @@ def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = T
     last = np.inf
     for _ in range(rounds):
         rate = _rate(steps, most)
-        got = member.select("n_tokens", "p", rate.alias("r")).agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k))).first()
+        got = member.select("n_tokens", *p, rate.alias("r")).agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k))).first()
         miss = np.array([float(x or 0) for x in got]) - want
         left = float(miss @ inverse @ miss)
         if np.abs(miss).max() <= tolerance * total or left > last * (1 - 1e-4):
@@ -165,5 +178,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     rate, _ = fit_rates(member, model["names"], targets, tilt, budget, most)
     names = F.array(*map(F.lit, model["names"]))
     coin = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    out = member.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), "p", rate.alias("rate"))
+    member = member.withColumn("rate", rate).withColumn("p", F.array(*(f"p{d}" for d in range(len(model["names"])))))
+    out = member.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), "p", "rate")
     return out.withColumn("n_copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
