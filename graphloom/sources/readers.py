@@ -41,7 +41,7 @@ def interchange(spark: SparkSession, data: dict, directed: bool | None = None) -
 
 def tu_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A collection of graphs in the TU text layout: vertices(graph_id, id, label), edges(graph_id, src, dst), graphs(graph_id, label). Vertices are numbered by line, by file position."""
-    numbered = lambda f, cols: spark.read.text(f"{folder}/{name}_{f}.txt", wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("line", "t")).select((F.col("line") + 1).cast("long").alias("id"), F.trim("t").alias(cols))
+    numbered = lambda f, cols: spark.read.text(f"{folder}/{name}_{f}.txt", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("line", "t")).select((F.col("line") + 1).cast("long").alias("id"), F.trim("t").alias(cols))
     owner = numbered("graph_indicator", "g").select("id", F.col("g").cast("long").alias("graph_id"))
     labels = numbered("node_labels", "label")
     v = owner.join(labels, "id", "left").select("graph_id", "id", "label")
