@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.collisions import forest
 from graphloom.llm.common import components, smallest, stage
 from graphloom.llm.quality import _SPACE, chunks
 
@@ -20,6 +21,8 @@ DF_BUCKETS = 1 << 16
 IDF_GAIN = 0.25
 #: Of SAMPLES equal samples, pairs with fewer are not compared: at similarity 0.8 one pair in some thousands.
 LEAST_EQUAL = SAMPLES // 2
+#: Texts and bytes in a block of a large cluster, on average.
+BLOCK, BLOCK_BYTES = 400, 1_500_000
 DOC_BITS = 10
 _U = np.uint64
 _LOW = _U((1 << (64 - DOC_BITS)) - 1)
@@ -134,32 +137,75 @@ def similarity(a: str | None, b: str | None, idf: np.ndarray) -> float:
     return float(shared / total) if total > 0 else 1.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts are similar enough."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            keep = [similarity(s, t, idf) >= least for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+def _equal(x, y):
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
 
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
+def _ties(members: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges (a, b) between texts of one bucket that agree in LEAST_EQUAL samples, as few as hold each bucket's similar texts together.
 
-def _equal(x, y):
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
+    The smallest text of a bucket meets all others; those that it doesn't resemble choose their smallest for the next
+    round, which meets all of the bucket again; what is left after the rounds meets pair by pair, of which
+    only those that agree come out of the join.
+    """
+    out, left = None, members
+    for _ in range(rounds):
+        lead = left.groupBy("key").agg(F.min("doc_id").alias("lead"))
+        signs = left.join(lead, "key").where("doc_id = lead").select("key", "lead", F.col("sig").alias("lead_sig"))
+        met = members.join(signs, "key").where("doc_id <> lead").where(_equal(F.col("sig"), F.col("lead_sig")) >= LEAST_EQUAL)
+        met = stage(met.select("key", F.col("lead").alias("a"), F.col("doc_id").alias("b")))
+        out = met if out is None else out.unionByName(met)
+        told = met.select("key", F.col("b").alias("doc_id")).unionByName(lead.select("key", F.col("lead").alias("doc_id")))
+        left = stage(left.join(told.distinct(), ["key", "doc_id"], "left_anti"))
+    other = left.select("key", F.col("doc_id").alias("b"), F.col("sig").alias("y"))
+    rest = left.join(other, "key").where((F.col("doc_id") < F.col("b")) & (_equal(F.col("sig"), F.col("y")) >= LEAST_EQUAL))
+    return out.select("a", "b").unionByName(rest.select(F.col("doc_id").alias("a"), "b")).distinct()
+
+
+def links_among(ids: np.ndarray, texts: list[str | None], idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of texts with a weighted Jaccard similarity of at least `least`, by matrix products.
+
+    A shingle that a text has n times is n features, so that shared features sum to the minima of counts; only features
+    of two texts or more can be shared, and they are taken some thousand at a time.
+    """
+    doc, s, count, w = [], [], [], []
+    for at in range(0, len(texts), 1 << DOC_BITS):
+        part = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts[at : at + (1 << DOC_BITS)]]
+        size = np.array([len(x) + 1 for x in part])
+        d, h, c = shingles(np.frombuffer(b"\n".join([*part, b""]), np.uint8), np.cumsum(size) - size)
+        doc.append(d + at)
+        s.append(h)
+        count.append(c)
+    doc, s, count = np.concatenate(doc), np.concatenate(s), np.concatenate(count)
+    one = weights(s, np.ones_like(count), idf)
+    total = np.bincount(doc, one * count, len(texts))
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, s, w = np.repeat(doc, count), np.repeat(s, count), np.repeat(one, count)
+    order = np.lexsort((s, level))
+    doc, s, w, level = doc[order], s[order], w[order], level[order]
+    heads = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (level[1:] != level[:-1]))) if len(s) else np.zeros(0, np.int64)
+    many = np.diff(np.append(heads, len(s)))
+    shared = np.flatnonzero(many > 1)
+    both = np.zeros((len(texts), len(texts)))
+    for at in range(0, len(shared), 2048):
+        own = shared[at : at + 2048]
+        rows = np.repeat(heads[own] - np.cumsum(many[own]) + many[own], many[own]) + np.arange(many[own].sum())
+        matrix = np.zeros((len(texts), len(own)))
+        matrix[doc[rows], np.repeat(np.arange(len(own)), many[own])] = 1
+        both += (matrix * w[heads[own]]) @ matrix.T
+    union = total[:, None] + total[None, :] - both
+    return np.nonzero(np.triu(both >= (least - 1e-12) * union, 1) & (union > 0))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row a document: doc_id, class_id (the smallest doc_id of its class) and kept (it is that one).
 
-    Classes are the connected components of links between texts with weighted Jaccard similarity of at least `least`,
-    which are found if they share one of BANDS bands of ROWS samples (at similarity 0.8, all but one link in a thousand). Equal texts are one
-    class before anything is compared. Candidates in a band's bucket meet its smallest member first: each text its most
-    similar such member, then the other ones it isn't joined with; only members of one bucket that are in
-    different classes after that meet each other. So a bucket of a thousand copies costs a thousand comparisons and no link is lost.
+    Classes are the connected components of links between texts with weighted Jaccard similarity of at least `least`.
+    Equal texts are one class before anything is compared. Distinct texts that share one of BANDS bands of ROWS samples
+    (at similarity 0.8, all but one pair in a thousand) and agree in LEAST_EQUAL samples make candidate clusters; all
+    texts of a cluster are compared with each other exactly. A large cluster is dealt into blocks of bounded size and compared block
+    by block in matrix products, which give back a spanning forest of the links, never pairs; so groups of thousands
+    of near copies cost neither many rows nor one task.
 
     Null and empty texts are equal to each other and to nothing else; texts of fewer than five words are one shingle of
     all their words; rows with a null doc_id get a null class unless an equal text has an id; repeated rows are one
@@ -174,47 +220,34 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 doc, s, count = shingles(raw, first)
                 got = samples(doc, s, weights(s, count, idf), len(first))
                 cuts = pa.array(np.arange(len(first) + 1) * SAMPLES, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(cuts, pa.array(got.ravel())), pa.array(np.bincount(doc, minlength=len(first)) > 0)], names=["doc_id", "same", "sig", "some"])
+                size = np.diff(np.append(first, len(raw)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(cuts, pa.array(got.ravel())), pa.array(np.bincount(doc, minlength=len(first)) > 0), pa.array(size.astype(np.int64))], names=["doc_id", "same", "sig", "some", "bytes"])
 
-    signed = stage(texts.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("same")).mapInArrow(sign, "doc_id bigint, same string, sig array<int>, some boolean"))
+    signed = stage(texts.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("same")).mapInArrow(sign, "doc_id bigint, same string, sig array<int>, some boolean, bytes bigint"))
     equal = signed.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = signed.where("some and doc_id is not null").join(equal.select(F.col("rep").alias("doc_id")).where("doc_id is not null"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "sig")
+    reps = signed.where("some and doc_id is not null").join(equal.select(F.col("rep").alias("doc_id")).where("doc_id is not null"), "doc_id").dropDuplicates(["doc_id"])
+    reps = stage(reps.select("doc_id", "sig", "bytes"))
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS))))
-    placed = stage(reps.select("doc_id", "sig", bands.alias("key")))
-    shared = placed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
-    members = stage(placed.join(shared, "key").select("key", "lead", "doc_id", "sig"))
-    ids = members.select("doc_id").distinct()
-    some = stage(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]))
-
-    leads = members.where("doc_id = lead").select("lead", F.col("sig").alias("lead_sig")).dropDuplicates(["lead"])
-    ties = members.where("doc_id <> lead").select("doc_id", "lead", "sig").dropDuplicates(["doc_id", "lead"]).join(leads, "lead")
-    ties = stage(ties.select("doc_id", "lead", _equal("sig", "lead_sig").alias("n")).where(F.col("n") >= LEAST_EQUAL))
-    best = ties.groupBy("doc_id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
-    links = stage(_verified(best.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), some, idf, least))
-
-    def classes(found: DataFrame) -> DataFrame:
-        return stage(smallest(components(found)))
-
-    def classed(df: DataFrame, of: str, name: str, found: DataFrame) -> DataFrame:
-        return df.join(found.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
-
-    now = classes(links)
-    rest = classed(classed(ties.join(best, ["doc_id", "lead"], "left_anti"), "doc_id", "c", now), "lead", "d", now).where("c <> d")
-    more = stage(_verified(rest.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), some, idf, least))
-    links = links.unionByName(more)
-    now = classes(links)
-
-    inside = classed(members, "doc_id", "c", now)
-    mixed = inside.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    inside = stage(inside.join(mixed, "key").where("doc_id <> lead"))
-    groups = inside.select("key", "c").distinct()
-    twos = groups.join(groups.select("key", F.col("c").alias("d")), "key").where("c < d")
-    left = twos.join(inside.select("key", "c", F.col("doc_id").alias("a"), F.col("sig").alias("x")), ["key", "c"])
-    right = inside.select("key", F.col("c").alias("d"), F.col("doc_id").alias("b"), F.col("sig").alias("y"))
-    met = left.join(right, (left["key"] == right["key"]) & (left["d"] == right["d"]) & (_equal(left["x"], right["y"]) >= LEAST_EQUAL)).select("a", "b").distinct()
-    links = links.unionByName(stage(_verified(met, some, idf, least)))
-    now = classes(links)
-
+    placed = reps.select("doc_id", "sig", bands.alias("key"))
+    shared = placed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key")
+    members = stage(placed.join(shared, "key"))
+    clusters = stage(smallest(components(_ties(members))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    size = clusters.join(reps.select("doc_id", "bytes"), "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    dealt = stage(clusters.join(size, "cluster").select("doc_id", "cluster", "blocks"))
+    found = texts.join(dealt, "doc_id").dropDuplicates(["doc_id"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    found = found.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        ids = table["doc_id"].to_numpy()
+        i, j = links_among(ids, table["text"].to_pylist(), idf, least)
+        root = forest(i, j, len(ids)) if len(i) else np.arange(len(ids))
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[root[some]], pa.int64())})
+
+    links = stage(found.groupBy("cluster", "lo", "hi").applyInArrow(compare, "a bigint, b bigint"))
+    now = smallest(components(links))
     out = signed.select("doc_id", "same").join(equal, "same")
     out = out.join(now.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
