@@ -21,10 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Makes Spark drop a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning and size statistics."""
+    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning and size statistics. The write's shuffle files go when it has ended."""
+    conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/graphloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
