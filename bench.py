@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,7 @@ def main() -> None:
         t = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - t, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, total seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rsplit("sf", 1)[-1]}))
     spark.stop()
 
