@@ -154,7 +154,7 @@ def display_label(attrs: Column, excluded: tuple[str, ...]) -> Column:
 def short_number(x: Column) -> Column:
     """1600000 as 2M, and so on; halves go to the even number."""
     scaled = lambda unit, letter: F.concat(F.bround(x / unit).cast("long").cast("string"), F.lit(letter))
-    return F.when(x >= 1e9, scaled(1e9, "B")).when(x >= 1e6, scaled(1e6, "M")).when(x >= 1e3, scaled(1e3, "K")).when(x >= 1, F.floor(x).cast("string")).otherwise(F.format_string("%.1f", x))
+    return F.when(x >= 1e9, scaled(1e9, "B")).when(x >= 1e6, scaled(1e6, "M")).when(x >= 1e3, scaled(1e3, "K")).when(x >= 1, F.floor(x).cast("string")).otherwise(F.format_string("%.1f", F.bround(x, 1)))
 
 
 def type_title(t: Column) -> Column:
