@@ -141,12 +141,27 @@ def _equal(x, y):
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
 
 
+def _agreeing(table: pa.Table) -> pa.Table:
+    """Of two blocks of one bucket (the same if lo = hi): a spanning forest of their texts that agree in LEAST_EQUAL samples."""
+    ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
+    sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(len(ids), SAMPLES)
+    x, y = np.flatnonzero(block == table["lo"][0].as_py()), np.flatnonzero(block == table["hi"][0].as_py())
+    equal = np.zeros((len(x), len(y)), np.int16)
+    for k in range(SAMPLES):
+        equal += sig[x, k][:, None] == sig[y, k]
+    i, j = np.nonzero(equal >= LEAST_EQUAL)
+    root = forest(x[i], y[j], len(ids)) if len(i) else np.arange(len(ids))
+    some = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[root[some]], pa.int64()), "b": pa.array(ids[some], pa.int64())})
+
+
 def _ties(members: DataFrame, rounds: int = 2) -> DataFrame:
     """Edges (a, b) between texts of one bucket that agree in LEAST_EQUAL samples, as few as hold each bucket's similar texts together.
 
     The smallest text of a bucket meets all others; those that it doesn't resemble choose their smallest for the next
-    round, which meets all of the bucket again; what is left after the rounds meets pair by pair, of which
-    only those that agree come out of the join.
+    round, which meets all of the bucket again. Where a bucket's texts are still in several components of these edges,
+    texts of different components meet each other: small buckets in a join, large ones block by block, of which only a
+    spanning forest comes out. So the edges' components are those of all agreeing pairs.
     """
     out, left = None, members
     for _ in range(rounds):
@@ -157,9 +172,19 @@ def _ties(members: DataFrame, rounds: int = 2) -> DataFrame:
         out = met if out is None else out.unionByName(met)
         told = met.select("key", F.col("b").alias("doc_id")).unionByName(lead.select("key", F.col("lead").alias("doc_id")))
         left = stage(left.join(told.distinct(), ["key", "doc_id"], "left_anti"))
-    other = left.select("key", F.col("doc_id").alias("b"), F.col("sig").alias("y"))
-    rest = left.join(other, "key").where((F.col("doc_id") < F.col("b")) & (_equal(F.col("sig"), F.col("y")) >= LEAST_EQUAL))
-    return out.select("a", "b").unionByName(rest.select(F.col("doc_id").alias("a"), "b")).distinct()
+    out = out.select("a", "b").distinct()
+    now = stage(smallest(components(out)).select(F.col("node").alias("doc_id"), "component"))
+    placed = members.select("key", "doc_id").join(now, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    apart = placed.groupBy("key").agg(F.min("part").alias("one"), F.max("part").alias("last"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("one < last")
+    divided = stage(members.join(apart.select("key", "blocks"), "key").join(now, "doc_id", "left").select("key", "blocks", "doc_id", "sig", F.coalesce("component", "doc_id").alias("part")))
+    few = divided.where("blocks = 1").drop("blocks")
+    other = few.select("key", F.col("doc_id").alias("b"), F.col("sig").alias("y"), F.col("part").alias("other"))
+    few = few.join(other, "key").where((F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("other"))).where(_equal(F.col("sig"), F.col("y")) >= LEAST_EQUAL)
+    many = divided.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "doc_id", "sig")
+    many = many.groupBy("key", "lo", "hi").applyInArrow(_agreeing, "a bigint, b bigint")
+    return out.unionByName(few.select(F.col("doc_id").alias("a"), "b")).unionByName(many).distinct()
 
 
 def links_among(ids: np.ndarray, texts: list[str | None], idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:

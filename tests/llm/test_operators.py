@@ -220,6 +220,17 @@ def test_minhash(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [400, 2])
+def test_ties_hold_all_agreeing_pairs_of_a_bucket(spark, monkeypatch, block):
+    x, y = [100 + k for k in range(30)], [100 + k if k < 20 else 200 + k for k in range(30)]
+    first = x[:5] + [300 + k for k in range(5, 20)] + x[20:]  # 15 samples of x, 5 of y
+    second = [400 + k for k in range(5)] + y[5:10] + [400 + k for k in range(10, 20)] + y[20:]  # 5 of x, 15 of y
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = [(1, first, 7), (2, second, 7), (3, x, 7), (4, y, 7), (9, [500 + k for k in range(30)], 7), (10, [600 + k for k in range(30)], 8), (11, [700 + k for k in range(30)], 8)]
+    ties = minhash._ties(spark.createDataFrame(rows, "doc_id long, sig array<int>, key long"))
+    assert {r.node: r.component for r in common.smallest(common.components(ties)).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_blocks_of_a_large_cluster_agree(spark, monkeypatch):
     r = random.Random(9)
     base = [f"w{i}" for i in range(100)]
