@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from math import log2
 
@@ -61,33 +61,36 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def link(parts: dict[str, list[tuple[int, int]]], breaks: list[int], reach: int) -> dict[tuple[int, int], int]:
-    """Interval join of identifiers, secrets and endpoints: two parts meet if at most `reach` code points and no blank line lie between.
+    """Interval join of secrets with identifiers and endpoints: two parts meet if at most `reach` code points and no blank line lie between.
 
-    A secret meets its nearest identifier and its nearest endpoint on either side (a sweep over sorted starts, one
-    bisection a part, so that a scope with thousands of parts makes no pairs). A secret with an identifier makes a
-    group, which takes in the secret's endpoint. Returns part -> number of its group: the start of its first secret.
+    Every identifier and endpoint meets every secret in its reach: one sweep over sorted starts, in which the open parts
+    of a side that a part meets become one open part with the largest end, so that a scope with thousands of parts
+    makes no pairs. Parts that meet, directly or over others, are a group. Returns part -> number of its group: the
+    start of its first secret; parts that meet nothing are left out.
     """
-    groups: dict[tuple[int, int], int] = {}
-    ordered = {k: sorted(v) for k, v in parts.items()}
-    starts = {k: [a for a, _ in v] for k, v in ordered.items()}
-
-    def near(span: tuple[int, int], kind: str) -> list[tuple[int, int]]:
-        i, out = bisect_left(starts[kind], span[0]), []
-        for j in (i - 1, i):
-            if 0 <= j < len(ordered[kind]):
-                other = ordered[kind][j]
-                lo, hi = min(span[1], other[1]), max(span[0], other[0])
-                if hi - lo <= reach and bisect_right(breaks, hi) == bisect_left(breaks, lo):
-                    out.append(other)
-        return out
-
-    for s in ordered["secret"]:
-        ids = near(s, "id")
-        if ids:
-            g = min(groups.get(x, s[0]) for x in (s, *ids))
-            for x in (s, *ids, *near(s, "endpoint")):
-                groups.setdefault(x, g)
-    return groups
+    rows = sorted((a, b, kind == "secret") for kind, spans in parts.items() for a, b in spans)
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    scope, opened = -1, [[], []]  # of identifiers and endpoints, of secrets: (row, end)
+    for i, (a, b, secret) in enumerate(rows):
+        if (now := bisect_left(breaks, a)) != scope:
+            scope, opened = now, [[], []]
+        met = [(j, end) for j, end in opened[not secret] if end + reach >= a]
+        for j, _ in met:
+            root[top(j)] = top(i)
+        opened[not secret] = [(met[0][0], max(end for _, end in met))] if met else []
+        opened[secret].append((i, b))
+    first: dict[int, int] = {}
+    for i, (a, _, secret) in enumerate(rows):
+        if secret:
+            first.setdefault(top(i), a)
+    size = Counter(map(top, range(len(rows))))
+    return {(a, b): first[top(i)] for i, (a, b, _) in enumerate(rows) if size[top(i)] > 1}
 
 
 def find(text: str | None, reach: int = 200) -> list[tuple[str, int, int, int]]:
@@ -102,7 +105,7 @@ def find(text: str | None, reach: int = 200) -> list[tuple[str, int, int, int]]:
     strong = [(a, b) for a, b, k in base if k == "assign" or k == "hex" and not text[a:b].isdigit()]
     keys = [(a, b) for a, b, k in base if k == "access"]
     groups: dict[tuple[int, int], int] = {}
-    if (strong or loose) and (keys or ids):
+    if (strong or loose) and (keys or ids or ends):
         breaks = [m.start() for m in _BREAK.finditer(text)]
         groups = link({"id": keys + ids, "secret": strong + loose, "endpoint": ends}, breaks, reach)
     out = [(k, a, b, groups.get((a, b), -1)) for a, b, k in base]
@@ -115,8 +118,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: doc_id and found, an array of (kind, start, end, link) in code points, end exclusive.
 
     Strong kinds (assign, access, hex) are always reported. Weak identifiers (id), bare strings (secret) and endpoints
-    are reported only where complementary parts meet: a secret and an identifier within `reach` code points of each
-    other with no blank line between, and the endpoint next to that secret; link tells parts of one credential.
+    are reported only where complementary parts meet: a secret and an identifier or endpoint within `reach` code points
+    of each other with no blank line between; link tells parts of one credential.
     A null or empty text gives an empty array, a null doc_id is kept, repeated rows give repeated rows, other columns
     are ignored. No shuffle: each text is handled where it is read.
     """

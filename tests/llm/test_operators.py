@@ -60,6 +60,38 @@ def test_secrets_many_parts_stay_linear():
     assert len(secrets.find(text)) == 6000
 
 
+def test_secrets_link_all_parts_in_reach():
+    found = secrets.find("user=jane.doe client_id=tenant42 token=abcdefghijkl1")
+    assert [k for k, *_ in found] == ["id", "id", "assign"] and {g for *_, g in found} == {33}
+    found = secrets.find("a.example.org:80 b.example.org:81 Zk3mPq9RtVw2xYb7NcLd5Q")
+    assert [k for k, *_ in found] == ["endpoint", "endpoint", "secret"] and {g for *_, g in found} == {34}
+
+
+def test_secret_links_equal_brute_force():
+    r = random.Random(11)
+    for _ in range(2000):
+        reach, spans = r.randint(0, 12), {(a, a + r.randint(1, r.choice([4, 30]))) for a in (r.randint(0, 120) for _ in range(r.randint(0, 14)))}
+        parts = {"id": [], "secret": [], "endpoint": []}
+        for x in sorted(spans):
+            parts[r.choice(list(parts))].append(x)
+        breaks = [p for p in sorted(r.randint(0, 150) for _ in range(3)) if not any(a <= p < b for a, b in spans)]
+        root = {x: x for x in spans}
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for s in parts["secret"]:
+            for x in parts["id"] + parts["endpoint"]:
+                lo, hi = min(s[1], x[1]), max(s[0], x[0])
+                if hi - lo <= reach and not any(lo <= p <= hi for p in breaks):
+                    root[find(x)] = find(s)
+        groups = {}
+        for x in sorted(spans):
+            groups.setdefault(find(x), []).append(x)
+        want = {x: min(s for s in g if s in parts["secret"])[0] for g in groups.values() if len(g) > 1 for x in g}
+        assert secrets.link(parts, breaks, reach) == want
+
+
 def test_secret_base_equals_plain_patterns():
     r = random.Random(3)
     for _ in range(3000):
