@@ -75,7 +75,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     A rule that fits decides. Else the page takes what its aliases decide: pages are aliases if one's canonical link or
     redirect leads to the other (or to the same third url), or their urls have the same plain form; components of that
     relation may hold several decisions, and an allow among them comes before a block. With neither the verdict is allow.
-    redirects: more edges, columns from_url and to_url. component: the smallest page_id among the aliases, or null.
+    redirects: more edges, columns from_url and to_url, followed over urls that are no pages too. component: the smallest page_id among the aliases, or null.
 
     A url that many pages name makes a star on its smallest page, not pairs. A null url has an empty host and path and
     no aliases; a null html has no links; rows with a null page_id are judged by rules alone; repeated rows stay; rows
@@ -87,8 +87,13 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     named = named.select("page_id", plain_form(F.col("named")).alias("form")).where("form is not null")
     if redirects is not None:
         hops = redirects.select(plain_form(F.col("from_url")).alias("form"), plain_form(F.col("to_url")).alias("to")).where("form is not null and to is not null and form <> to").distinct()
-        # an edge between two forms: every page of the one names the other
-        named = named.unionByName(named.join(hops, "form").select("page_id", F.col("to").alias("form")))
+        # forms that redirects join, over any number of hops and whether pages name them or not, count as their least form
+        hops = stage(hops)
+        forms = stage(hops.select(F.explode(F.array("form", "to")).alias("form")).distinct().withColumn("node", F.monotonically_increasing_id()))
+        ends = forms.select(F.col("form").alias("to"), F.col("node").alias("b"))
+        groups = components(hops.join(forms, "form").join(ends, "to").select(F.col("node").alias("a"), "b")).join(forms, "node")
+        least = groups.groupBy("root").agg(F.min("form").alias("least"))
+        named = named.join(groups.join(least, "root").select("form", "least"), "form", "left").select("page_id", F.coalesce("least", "form").alias("form"))
     named = stage(named)
     hubs = named.groupBy("form").agg(F.min("page_id").alias("hub"), F.max("page_id").alias("far")).where("hub <> far").select("form", "hub")
     edges = named.join(hubs, "form").where("page_id <> hub").select(F.col("page_id").alias("a"), F.col("hub").alias("b"))

@@ -125,6 +125,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_redirects_over_urls_that_are_no_pages(spark):
+    rows = [(1, "http://a.net/1", None), (2, "http://d.com/de/x", None), (3, "http://e.net/other", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hops = [("http://www.a.net/1/", "http://s.net/b"), ("https://s.net/b#x", "http://s.net/c"), ("http://s.net/c", "http://d.com/de/x"), ("http://s.net/f", "http://s.net/g"), (None, "http://s.net/f"), ("http://s.net/f", "http://s.net/f")]
+    for some in (hops, hops[::-1]):
+        got = {r.page_id: (r.verdict, r.component) for r in url_filter.judge_urls(pages, redirects=spark.createDataFrame(some, "from_url string, to_url string")).collect()}
+        assert got == {1: ("block", 1), 2: ("block", 1), 3: ("allow", None)}
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, redirects=spark.createDataFrame([], "from_url string, to_url string")).collect()} == {1: "allow", 2: "block", 3: "allow"}
+
+
 def test_allow_comes_first(spark):
     rows = [(1, "http://a.net/1", '<link rel=canonical href="http://q.net/">'), (2, "http://b.com/de/x", '<link rel=canonical href="http://q.net/">'), (3, "http://c.org/x", '<link rel=canonical href="http://q.net/">')]
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
