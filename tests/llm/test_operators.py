@@ -201,6 +201,23 @@ def test_bm25(spark):
     assert bm25.search(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_bm25_counts_and_blocks_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERIES", 1)
+    texts = {0: "a " * 140_000 + "b " * 70_000, 1: "a c", 2: "b c d", 3: "d e", 4: "b a a"}
+    docs = documents(spark, texts.items())
+    got = bm25.search(docs, docs, 5).collect()
+    count = {i: Counter(t.split()) for i, t in texts.items()}
+    mean = sum(sum(c.values()) for c in count.values()) / 5
+    df = Counter(w for c in count.values() for w in c)
+    want = {}
+    for q in texts:
+        for i, c in count.items():
+            s = sum(k * math.log(1 + (5 - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, k in count[q].items() if w in c)
+            if s > 0:
+                want[q, i] = s
+    assert {(x.query_id, x.doc_id): x.score for x in got} == pytest.approx(want)
+
+
 def test_mixing_meets_targets(spark):
     r = random.Random(1)
     rows, marks = [], []
