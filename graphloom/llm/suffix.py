@@ -17,6 +17,8 @@ GRAM = 20
 CHUNK = 1 << 21
 #: Bytes of contexts that are sorted together, one anchor's whole group at least.
 SORTED = 1 << 18
+#: Anchors with more bytes of contexts are hot: their strings are dealt one by one.
+HOT = 1 << 20
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _RNG = np.random.default_rng(20240921)
@@ -165,6 +167,8 @@ def marked_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     2. Rows are dealt by anchor and sorted; a scan with constant memory marks larger documents' equal runs, and asks for the bytes
     of the others where an anchor has several different runs.
     3. Those bytes, with one copy of each different run, are dealt by anchor again and suffix-sorted in blocks.
+    4. Strings of hot anchors, whose contexts are too many for one task, are dealt by their own bytes: equal strings
+    have equal anchors, so the smallest document of each string is an aggregate.
     """
 
     def cut(batches):
@@ -229,7 +233,9 @@ def marked_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc", "p0", "n", "f", "ask"])
 
     told = stage(dealt.mapInArrow(scan, "doc bigint, p0 bigint, n bigint, f bigint, ask boolean"))
-    asked = told.where("ask").groupBy("doc").agg(F.collect_list(F.struct("f", "p0", "n")).alias("runs"))  # a text's length bounds its list
+    ask = told.where("ask").select("doc", "p0", "n", "f")
+    hot = stage(ask.groupBy("f").agg(F.sum(F.col("n") - 1 + length).alias("bytes")).where(F.col("bytes") > HOT).select("f"))
+    some_hot = not hot.isEmpty()
     once = _texts(docs).where("doc_id is not null")
 
     def fetch(batches):
@@ -238,7 +244,11 @@ def marked_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 doc, raw, runs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([r["f"] for r in runs], pa.int64()), pa.array([doc] * len(runs), pa.int64()), pa.array([r["p0"] for r in runs], pa.int64()), pa.array([raw[r["p0"] : r["p0"] + r["n"] - 1 + length] for r in runs], pa.binary())], names=["f", "doc", "p0", "bytes"])
 
-    contexts = once.join(asked, F.col("doc_id") == F.col("doc")).select("doc_id", "raw", "runs").mapInArrow(fetch, "f bigint, doc bigint, p0 bigint, bytes binary")
+    def contexts_of(runs: DataFrame) -> DataFrame:
+        asked = runs.groupBy("doc").agg(F.collect_list(F.struct("f", "p0", "n")).alias("runs"))  # a text's length bounds its list
+        return once.join(asked, F.col("doc_id") == F.col("doc")).select("doc_id", "raw", "runs").mapInArrow(fetch, "f bigint, doc bigint, p0 bigint, bytes binary")
+
+    contexts = contexts_of(ask.join(hot, "f", "left_anti") if some_hot else ask)
     contexts = contexts.repartition("f").sortWithinPartitions("f")
 
     def sort(batches):
@@ -260,7 +270,14 @@ def marked_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield flush(held)
 
     sorted_runs = stage(contexts.mapInArrow(sort, "doc bigint, p0 bigint, n bigint"))
-    return told.where("not ask").select("doc", "p0", "n").unionByName(sorted_runs)
+    out = told.where("not ask").select("doc", "p0", "n").unionByName(sorted_runs)
+    if not some_hot:
+        return out
+    each = F.sequence(F.lit(1), F.length("bytes") - length + 1)
+    strings = contexts_of(ask.join(hot, "f", "left_semi")).select("doc", "p0", "bytes", F.explode(each).alias("at"))
+    strings = stage(strings.select("doc", (F.col("p0") + F.col("at") - 1).alias("p0"), F.substring("bytes", F.col("at"), F.lit(length)).alias("string")))
+    least = strings.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("string", "least")
+    return out.unionByName(strings.join(least, "string").where("doc > least").select("doc", "p0", F.lit(1).cast("long").alias("n")))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -390,6 +390,27 @@ def test_suffix_dedup(spark):
     assert suffix.drop_repeats(documents(spark, [])).count() == 0
 
 
+def test_hot_anchors_are_not_sorted_in_one_task(spark, monkeypatch):
+    r = random.Random(12)
+    line = "".join(r.choice("abcdefgh") for _ in range(44))
+    text = lambda n: "".join(r.choice("xyzé") for _ in range(n))
+    rows = [(i, text(60) + r.choice("pq") * r.randint(1, 4) + line + r.choice("st") * r.randint(1, 4) + text(60)) for i in range(80)]
+    rows += [(90, None), (3, rows[3][1])]
+    monkeypatch.setattr(suffix, "HOT", 2000, raising=False)
+    most, repeated = spark.sparkContext.accumulator(0), suffix.repeated
+
+    def counted(contexts, docs, length=suffix.LENGTH):
+        if len(contexts) > 40:
+            most.add(1)
+        return repeated(contexts, docs, length)
+
+    monkeypatch.setattr(suffix, "repeated", counted)
+    monkeypatch.setattr(suffix, "SORTED", 1)
+    got = suffix.drop_repeats(documents(spark, rows)).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_repeats(rows)
+    assert sum(x.n_removed > 0 for x in got) > 40 and most.value == 0
+
+
 def test_two_stage_order():
     r = random.Random(3)
     for _ in range(200):
