@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,18 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Makes Spark drop a query's shuffle files as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning and size statistics. The write's shuffle files go when it has ended."""
+def stage(df: DataFrame, batch_rows: int | None = None, **options: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning and size statistics. The write's shuffle files go when it has ended. batch_rows: rows that Python gets at once, for rows of megabytes; options go to the writer."""
     conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/graphloom/{uuid.uuid4().hex}"
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: conf.get(k) for k in own}
     try:
-        df.write.parquet(path)
+        for k, v in own.items():
+            conf.set(k, v)
+        df.write.options(**options).parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

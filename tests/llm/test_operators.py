@@ -457,3 +457,41 @@ def test_pipeline_stages(spark):
         docs = out
     last = P.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.where("not lossless").count() == 0
+
+
+def test_bm25_equals_plain_scores_over_shards_and_blocks(spark, monkeypatch):
+    r = random.Random(14)
+    monkeypatch.setattr(bm25, "POSTINGS", 1500)
+    monkeypatch.setattr(bm25, "QUERIES", 20)
+    tongues = [[f"{c}{i}" for i in range(300)] for c in "xyz"]
+    texts = {i: " ".join(w[min(int(r.expovariate(0.02)), 299)] for _ in range(r.randint(5, 60))) for i in range(600) for w in [tongues[i % 3]]}
+    rows = [*texts.items(), (5, texts[5]), (7, "x1 x2 x3"), (700, None)]  # a repeated row, one id with two texts
+    docs = documents(spark, rows).repartition(2)
+    assert bm25.build_index(docs.select("doc_id", F.coalesce("text", F.lit("")))).count() > 4
+    got = bm25.search(docs, docs.where("doc_id % 10 = 0"), 4).collect()
+    counts = [(i, Counter((t or "").split())) for i, t in rows]
+    mean, n, df = sum(sum(c.values()) for _, c in counts) / len(rows), len(rows), Counter(w for _, c in counts for w in c)
+    for q in range(0, 600, 10):
+        score = {}
+        for i, c in counts:
+            s = sum(k * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, k in Counter(texts[q].split()).items() if w in c)
+            score[i] = max(round(s, 9), score.get(i, 0))
+        want = sorted(((i, s) for i, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:4]
+        mine = sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)
+        assert [(x.doc_id, round(x.score, 6)) for x in mine] == [(i, round(s, 6)) for i, s in want]
+
+
+def test_block_maxima_skip_blocks():
+    r = np.random.default_rng(3)
+    n = 1280
+    tongue = np.arange(n) % 4
+    doc = np.repeat(np.arange(n), 30)
+    term = tongue[doc] * 100 + r.integers(0, 60, len(doc))
+    pairs, tf = np.unique(doc * 1000 + term, return_counts=True)
+    doc, term = pairs // 1000, (pairs % 1000).astype(np.uint64)
+    shard = bm25.Shard(*bm25.packed_index(np.arange(n), np.full(n, 30), doc, term, tf).values(), 30.0)
+    place = np.searchsorted(shard.terms, np.arange(0, 20, dtype=np.uint64))
+    q, d, s = shard.search(np.zeros(20, int), place, np.ones(20), 1, np.zeros(1), 5)
+    weight = np.where(term < 20, tf * 2.2 / (tf + 1.2), 0)
+    want = np.sort(np.bincount(doc, weight, n))[::-1][:5]
+    assert np.allclose(np.sort(s)[::-1][:5], want) and shard.skipped / shard.met > 0.6  # the other three tongues
