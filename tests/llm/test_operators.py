@@ -466,7 +466,7 @@ def test_bm25_equals_plain_scores_over_shards_and_blocks(spark, monkeypatch):
     tongues = [[f"{c}{i}" for i in range(300)] for c in "xyz"]
     texts = {i: " ".join(w[min(int(r.expovariate(0.02)), 299)] for _ in range(r.randint(5, 60))) for i in range(600) for w in [tongues[i % 3]]}
     rows = [*texts.items(), (5, texts[5]), (7, "x1 x2 x3"), (700, None)]  # a repeated row, one id with two texts
-    docs = documents(spark, rows).repartition(2)
+    docs = documents(spark, rows).repartition(6)
     assert bm25.build_index(docs.select("doc_id", F.coalesce("text", F.lit("")))).count() > 4
     got = bm25.search(docs, docs.where("doc_id % 10 = 0"), 4).collect()
     counts = [(i, Counter((t or "").split())) for i, t in rows]
