@@ -51,7 +51,7 @@ def shingles(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word = _mixed(np.add.reduceat(np.where(gap, _U(0), _MIX[raw] * _PLACE[place & 63] + (place >> 6).astype(_U)), a))
     doc = np.searchsorted(first, a, "right") - 1
     h = np.zeros(n, _U)
-    for k in range(WIDTH):
+    for k in range(min(WIDTH, n)):
         inside = np.zeros(n, bool)
         inside[: n - k] = doc[k:] == doc[: n - k]
         h += np.where(inside, np.roll(word, -k) * _STEP[k], _U(0))

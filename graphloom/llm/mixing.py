@@ -115,69 +115,100 @@ def members(docs: DataFrame, model: dict) -> DataFrame:
     return posteriors(rows, model, F.col("doc_id"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def _rate(steps: list[np.ndarray], most: float) -> Column:
-    """A document's rate after the given steps: each takes p . step off and projects onto rates from 0 to `most`. Plain arithmetic, for generated code."""
+def _rate(price: np.ndarray, most: float) -> Column:
+    """A document's rate at the domains' prices: 1 - p . price, projected onto rates from 0 to `most`. Plain arithmetic, for generated code."""
     rate = F.lit(1.0)
-    for step in steps:
-        for d, x in enumerate(step):
-            rate = rate - F.col(f"p{d}") * float(x)
-        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate))
-    return rate
+    for d, x in enumerate(price):
+        rate = rate - F.col(f"p{d}") * float(x)
+    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate))
 
 
-def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, tilt: dict[str, float] | None = None, budget: float | None = None, most: float = MOST, rounds: int = 30, tolerance: float = 1e-6) -> tuple[Column, list[np.ndarray]]:
-    """Projected gradient for min |A r - T| over 0 <= r <= most, where A r are the expected tokens of the domains and T is budget (all tokens if None) times the targets.
+def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, tilt: dict[str, float] | None = None, budget: float | None = None, most: float = MOST, rounds: int = 40, tolerance: float = 1e-5, ridge: float = 1e-7) -> tuple[Column, np.ndarray]:
+    """Rates 0 <= r <= most of least squares for A r = T, where A r are the expected tokens of the domains and T is budget (all tokens if None) times the targets; of all such rates those nearest to 1. Returns the rate and the domains' prices.
 
-    With tilt, the targets are the domains' own shares times tilt, made to sum to one: always within reach.
+    With tilt, the targets are the domains' own shares times tilt, made to sum to one.
 
-    The gradient is taken in the metrics of tokens (documents) and of G = A diag(1/tokens) A' (domains), in which a step
-    of length 1 can't overshoot. A rate depends on a document's probabilities and the steps so far, so each
-    round is one aggregate to len(names) sums over an unchanging table, and no round writes anything.
+    Minimises |A r - T|^2 / ridge + |r - 1|^2 (in the metrics of G = A diag(1/tokens) A' and of tokens), by projected
+    gradient on its dual, which has one price a domain: a document's rate is 1 - p . price, projected. A plain step
+    crawls once many rates are at a bound, so a step is scaled by G over the documents that are at none, and halved until the dual rises.
+    Each round is one aggregate to a few sums over an unchanging table; no round writes anything. It ends where the
+    totals differ from T by less than `tolerance` of all tokens, or, out of reach, where the dual rises no more.
     """
     k = len(names)
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{d}") for d in range(k)]
-    own = [F.sum(t * p[i]).alias(f"s{i}") for i in range(k)]
-    cells = [F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = member.agg(F.sum(t).alias("all"), *own, *cells).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def square(row, prefix: str) -> np.ndarray:
+        out = np.zeros((k, k))
+        for i, j in pairs:
+            out[i, j] = out[j, i] = float(row[f"{prefix}{i}_{j}"] or 0)
+        return out
+
+    first = member.agg(F.sum(t).alias("all"), *(F.sum(t * p[i]).alias(f"s{i}") for i in range(k)), *(F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
     total = float(first["all"] or 0)
-    gram = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = float(first[f"g{i}_{j}"] or 0)
     share = np.array([targets.get(n, 0.0) for n in names])
     if tilt is not None:
         share = np.array([float(first[f"s{i}"] or 0) * tilt.get(n, 1.0) for i, n in enumerate(names)])
         share = share / max(share.sum(), 1e-300)
     want = share * (total if budget is None else budget)
+    price = np.zeros(k)
     if not total:
-        return F.lit(1.0), []
-    inverse = np.linalg.pinv(gram + 1e-12 * total * np.eye(k))
-    steps: list[np.ndarray] = []
-    last = np.inf
+        return F.lit(1.0), price
+    soft = ridge * (square(first, "g") + 1e-9 * total * np.eye(k))
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual, what the totals lack, and G over documents at no bound."""
+        r, free = F.col("r"), (F.col("r") > 0) & (F.col("r") < float(most))
+        cost = t * ((r - 1) * (r - 1) / 2 + sum((p[d] * float(x[d]) for d in range(1, k)), p[0] * float(x[0])) * r)
+        own = F.when(free, t).otherwise(0.0)
+        sums = [F.sum(cost).alias("cost"), *(F.sum(t * p[i] * r).alias(f"s{i}") for i in range(k)), *(F.sum(own * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs)]
+        row = member.select("n_tokens", *p, _rate(x, most).alias("r")).agg(*sums).first()
+        miss = np.array([float(row[f"s{i}"] or 0) for i in range(k)]) - want
+        return float(row["cost"] or 0) - float(x @ want) - float(x @ soft @ x) / 2, miss, square(row, "h")
+
+    value, miss, gram = at(price)
     for _ in range(rounds):
-        rate = _rate(steps, most)
-        got = member.select("n_tokens", *p, rate.alias("r")).agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k))).first()
-        miss = np.array([float(x or 0) for x in got]) - want
-        left = float(miss @ inverse @ miss)
-        if np.abs(miss).max() <= tolerance * total or left > last * (1 - 1e-4):
+        rise = miss - soft @ price
+        if np.abs(rise).max() <= tolerance * total:
             break
-        last = left
-        steps.append(inverse @ miss)
-    return _rate(steps, most), steps
+        step, length = np.linalg.solve(gram + soft + 1e-9 * total * np.eye(k), rise), 1.0
+        while True:
+            new = price + length * step
+            got = at(new)
+            if got[0] >= value or length < 1e-3:
+                break
+            length /= 2
+        if got[0] <= value + 1e-12 * abs(value):
+            break
+        price, (value, miss, gram) = new, got
+    return _rate(price, most), price
+
+
+def _copies(member: DataFrame, model: dict, targets: dict[str, float], tilt: dict[str, float] | None, budget: float | None, most: float) -> DataFrame:
+    """member with p (array), rate, domain (the likeliest) and n_copies: the rate rounded up or down by a coin of doc_id, so that copies have the rate on average and the same in every run."""
+    rate, _ = fit_rates(member, model["names"], targets, tilt, budget, most)
+    names = F.array(*map(F.lit, model["names"]))
+    coin = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    out = member.withColumn("rate", rate).withColumn("p", F.array(*(f"p{d}" for d in range(len(model["names"])))))
+    out = out.withColumn("domain", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")))
+    return out.withColumn("n_copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, tilt: dict[str, float] | None = None, budget: float | None = None, most: float = MOST) -> DataFrame:
     """One row a document: doc_id, n_tokens, domain (the likeliest), p (probabilities in the order of sorted domain names), rate, n_copies.
 
-    n_copies is the rate rounded up or down by a coin of doc_id, so that copies have the rate on average and the same in
-    every run. Null and empty texts have no tokens and get the rate of their probabilities; a null doc_id is kept;
-    repeated rows get equal rates; other columns are ignored. Without labels all domains are alike and rates are what they can be.
+    Null and empty texts have no tokens and get the rate of their probabilities; a null doc_id is kept; repeated rows
+    get equal rates; very long texts are whole; other columns are ignored. Without labels all domains are alike and rates are what they can be.
     """
     model = fit_domains(docs, labels)
-    member = stage(members(docs, model))
-    rate, _ = fit_rates(member, model["names"], targets, tilt, budget, most)
-    names = F.array(*map(F.lit, model["names"]))
-    coin = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    member = member.withColumn("rate", rate).withColumn("p", F.array(*(f"p{d}" for d in range(len(model["names"])))))
-    out = member.select("doc_id", "n_tokens", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), "p", "rate")
-    return out.withColumn("n_copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    out = _copies(stage(members(docs, model)), model, targets, tilt, budget, most)
+    return out.select("doc_id", "n_tokens", "domain", "p", "rate", "n_copies")
+
+
+def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, tilt: dict[str, float] | None = None, budget: float | None = None, most: float = MOST) -> DataFrame:
+    """docs with each row as often as its n_copies says. Rows carry their rate with them, so no text is shuffled or joined; edge cases as in mix()."""
+    model = fit_domains(docs, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    member = stage(posteriors(rows, model, F.col("doc_id"), tokens(F.col("text")).alias("n_tokens"), F.col("row")))
+    out = _copies(member, model, targets, tilt, budget, most).where("n_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy")).select("row.*")

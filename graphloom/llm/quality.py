@@ -228,3 +228,17 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores 0.5 or more. Rows are judged where they are read, each by its own text, whatever its doc_id; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["doc_id", "text"])
+            for a, b, raw, first in chunks(texts):
+                good = net.scores(features(net.vectors, raw, first)) >= 0.5
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -495,3 +495,49 @@ def test_block_maxima_skip_blocks():
     weight = np.where(term < 20, tf * 2.2 / (tf + 1.2), 0)
     want = np.sort(np.bincount(doc, weight, n))[::-1][:5]
     assert np.allclose(np.sort(s)[::-1][:5], want) and shard.skipped / shard.met > 0.6  # the other three tongues
+
+
+def test_rates_are_the_nearest_that_meet_the_targets(spark):
+    """Against a plain projected gradient of many small steps on the prices, in numpy."""
+    r = np.random.default_rng(5)
+    p = r.dirichlet([0.3, 0.2, 0.5], 500)
+    t = r.integers(1, 200, 500)
+    member = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
+    share = (p * t[:, None]).sum(0) / t.sum()
+    for targets in ({"a": 0.5, "b": 0.1, "c": 0.4}, dict(zip("abc", share * [1.2, 0.05, 1.0] / (share * [1.2, 0.05, 1.0]).sum(), strict=True))):
+        want = np.array([targets[x] for x in "abc"]) * t.sum()
+        rate, price = mixing.fit_rates(member, ["a", "b", "c"], targets)
+        got = np.array([x.r for x in member.select(rate.alias("r")).collect()])
+        assert np.abs((p * (t * got)[:, None]).sum(0) - want).max() <= 0.001 * t.sum()
+        plain = np.zeros(3)
+        for _ in range(30_000):
+            plain += 2e-5 * ((p * (t * np.clip(1 - p @ plain, 0, 4))[:, None]).sum(0) - want)
+        assert np.abs(got - np.clip(1 - p @ plain, 0, 4)).max() < 0.02
+    rate, _ = mixing.fit_rates(member, ["a", "b", "c"], {"a": 9.0, "b": 0.0, "c": 0.0})  # out of reach: at most 4 copies
+    assert 0 <= member.select(F.min(rate).alias("a")).first().a and member.select(F.max(rate).alias("a")).first().a <= 4
+
+
+def test_pipeline_stages_handle_odd_rows(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b", "en", "s", 3), (900001, "", "en", "s", 0), (900002, None, "en", "s", None), (900003, "long text " * 60_000, "en", "s", 1), (900003, "long text " * 60_000, "en", "s", 1)], docs.schema)
+    for name, step in P.STAGES[:-1]:
+        out = step(spark, docs.unionByName(odd).withColumn("n", F.lit(1)).withColumn("row", F.lit("x")), sf)
+        assert out.columns == list(P.COLUMNS), name
+        assert out.count() > 0
+        assert step(spark, docs.limit(0), sf).count() == 0, name
+    assert P.in_pieces(spark, odd, sf).where("lossless").count() == 6
+
+
+def test_mixing_stage_meets_its_shares(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    out = mixing.mix(docs, labels, tilt=P.TILT).toPandas()
+    p, t = np.vstack(out.p.values), out.n_tokens.values
+    own = (p * t[:, None]).sum(0) * [P.TILT[n] for n in sorted(P.TILT)]
+    got = (p * (t * out.rate.values)[:, None]).sum(0)
+    assert np.abs(got / t.sum() - own / own.sum()).max() < 0.002
