@@ -14,14 +14,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Rows with a null doc_id have no score to join and stay."""
+    """Rows whose text the quality classifier accepts, each judged by itself: null doc_ids and repeated rows too. Null and empty texts share one score."""
     net = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = quality.score_quality(docs, net).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return quality.keep_good(docs.select(*COLUMNS), net)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of least doc_id. Rows with a null doc_id stay."""
+    """One document of each class of near duplicates, the one of least doc_id. Rows with a null doc_id stay, as they can't be told apart by it; so do repeated rows of a kept document. Null and empty texts are one class."""
     dropped = minhash.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -32,12 +31,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture asks, which leaves toxic domains a twentieth of their share; copies of one document are equal rows. A rate of a half or more gives one copy at least, so that clean documents stay."""
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), tilt=TILT)
-    copies = F.greatest("n_copies", F.when(F.col("rate") >= 0.5, 1).otherwise(0))
-    copies = stage(rates.groupBy("doc_id").agg(F.max(copies).alias("n_copies")))
-    kept = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"]).where("n_copies > 0")
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*COLUMNS)
+    """Each row as often as the mixture asks, which leaves toxic domains a twentieth of their share; copies of one document are equal rows. Null doc_ids are rows like others; empty texts have no tokens and the rate of their probabilities."""
+    return mixing.mix_rows(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), tilt=TILT)
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
