@@ -66,10 +66,14 @@ def links_between(q: np.ndarray, d: np.ndarray, cosine: float = COSINE, seed: in
         for k in range(PROJECTIONS):
             count += (ranks[k] - low[k, at:end, None]) < width[k, at:end, None]  # below the run wraps round to a large number
         i, j = np.nonzero(count >= least)
-        if len(i) > 0.02 * count.size:
-            near = (q[at:end] @ d.T >= cosine)[i, j]
-        else:
-            near = np.concatenate([np.einsum("ij,ij->i", q[at + i[c : c + 16384]], d[j[c : c + 16384]]) >= cosine for c in range(0, len(i), 16384)] or [np.zeros(0, bool)])
+        near = np.ones(len(i), bool)
+        exact = np.arange(len(i))
+        if len(i) > 0.02 * count.size:  # a product tells all but pairs at the very edge, which the one exact sum decides as ever
+            dot = (q[at:end] @ d.T)[i, j]
+            near, exact = dot >= cosine, np.flatnonzero(np.abs(dot - cosine) < 1e-9)
+        for c in range(0, len(exact), 16384):
+            z = exact[c : c + 16384]
+            near[z] = np.einsum("ij,ij->i", q[at + i[z]], d[j[z]]) >= cosine
         found_i.append(at + i[near])
         found_j.append(j[near])
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -124,11 +128,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     rule more out without losing links.
 
     A null vector, or one of zeros or with null or non-finite components, links with nothing, and vectors of different
-    lengths don't either; a null vec_id has no links and a null component; repeated rows are one vector; other columns are ignored.
+    lengths don't either; a null vec_id has no links and a null component; repeated rows are one vector, and of different vectors of one vec_id the
+    one of least hash counts; other columns are ignored. An empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = stage(rows.withColumns({"sound": F.coalesce(sound, F.lit(False)), "k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")}).dropDuplicates(["vec_id", "k1", "k2"]))
+    rows = rows.withColumns({"sound": F.coalesce(sound, F.lit(False)), "k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")})
+    # one vector an id: of several the one of least hash, however the rows come in; vectors without an id stay apart
+    rows = rows.groupBy("vec_id", F.when(F.col("vec_id").isNull(), F.col("k1")).alias("loose")).agg(F.min_by(F.struct("v", "sound", "k1", "k2"), F.struct("k1", "k2")).alias("row"))
+    rows = stage(rows.select("vec_id", "row.*"))
     equal = stage(rows.where("sound").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
     first = rows.where("sound").join(equal, ["k1", "k2"]).where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "many", "v")
     n_blocks = max(1, -(-equal.count() // block))
