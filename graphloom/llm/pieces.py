@@ -14,6 +14,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text that are handled at once, one whole text at least.
 CHUNK = 1 << 21
+#: Segments of more characters are walked one by one: a step over all segments at once pays only for many of them.
+LONG = 256
 _U = np.uint64
 
 
@@ -132,11 +134,14 @@ class Lattices:
         leaves = node[start]
         enters = leaves + size
         depth = enters - np.repeat(base, lens)[start]
+        depth[np.repeat(lens, lens)[start] > LONG] = 0  # to the front
         order = np.lexsort((size, enters, depth))
         leaves, enters, piece, weight, depth = leaves[order], enters[order], piece[order], weight[order], depth[order]
         forward = np.zeros(len(code) + len(lens))
         chance = np.zeros(len(order))
-        cuts = np.flatnonzero(np.diff(depth, prepend=0))
+        alone = int(np.searchsorted(depth, 0, "right"))
+        self._walk(leaves[:alone], enters[:alone], weight[:alone], chance)
+        cuts = alone + np.flatnonzero(np.diff(depth[alone:], prepend=0))
         for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
             value, to = forward[leaves[a:b]] + weight[a:b], enters[a:b]
             heads = np.flatnonzero(np.diff(to, prepend=-1))
@@ -157,6 +162,36 @@ class Lattices:
         cum = (enters[order] << self.BITS) + np.rint(chance[order] * (1 << self.BITS)).astype(np.int64)
         return base, lens, cum, leaves[order], piece[order]
 
+    @staticmethod
+    def _walk(leaves: np.ndarray, enters: np.ndarray, weight: np.ndarray, chance: np.ndarray) -> None:
+        """Cumulative chances of edges sorted by the node they enter, node by node; a node that none enters has a sum of 0."""
+        forward: dict[int, float] = {}
+        at, leave, gain = 0, leaves.tolist(), weight.tolist()
+        ends = np.append(np.flatnonzero(np.diff(enters)) + 1, len(enters)).tolist() if len(enters) else []
+        for end in ends:
+            value = [forward.get(leave[k], 0.0) + gain[k] for k in range(at, end)]
+            top, total, sums = max(value), 0.0, []
+            for v in value:
+                total += math.exp(v - top)
+                sums.append(total)
+            forward[int(enters[at])] = top + math.log(total)
+            chance[at:end] = np.array(sums) / total
+            chance[end - 1] = 1.0
+            at = end
+
+    def _draw(self, key: int, begin: int, state: int, cum: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The edges of one segment from its last node back, with the random numbers that sample() would use."""
+        out, block = [], 1024
+        while state > begin:
+            u = (_mixed(np.full(block, key, _U) + np.arange(len(out), len(out) + block).astype(_U)) >> _U(64 - self.BITS)).tolist()
+            for x in u:
+                edge = int(np.searchsorted(cum, (state << self.BITS) + x, "right"))
+                out.append(edge)
+                state = int(leaves[edge])
+                if state <= begin:
+                    break
+        return np.array(out, np.int64)
+
     def sample(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts together, and where each text's ids begin (one entry more than texts)."""
         known: dict[str, int] = {}
@@ -178,7 +213,10 @@ class Lattices:
         keys = _mixed(np.repeat(row_keys, counts) ^ _mixed(place.astype(_U)))
         begin = base[seg]
         state = begin + lens[seg]
-        live, taken, steps = np.arange(n), [], np.zeros(n, np.int64)
+        live, taken, steps = np.flatnonzero(lens[seg] <= LONG), [], np.zeros(n, np.int64)
+        drawn = {int(k): self._draw(int(keys[k]), int(begin[k]), int(state[k]), cum, leaves) for k in np.flatnonzero(lens[seg] > LONG)}
+        for k, edges in drawn.items():
+            steps[k] = len(edges)
         while len(live):
             u = (_mixed(keys[live] + _U(len(taken))) >> _U(64 - self.BITS)).astype(np.int64)
             edge = np.searchsorted(cum, (state[live] << self.BITS) + u, "right")
@@ -190,6 +228,8 @@ class Lattices:
         ids = np.zeros(int(steps.sum()), np.int64)
         for k, (who, edge) in enumerate(taken):
             ids[at[who] + steps[who] - 1 - k] = piece[edge]
+        for k, edges in drawn.items():
+            ids[at[k] : at[k] + steps[k]] = piece[edges[::-1]]
         odd = np.flatnonzero(ids < 0)
         if len(odd):
             spelt = [[self.byte[b] for b in chr(-2 - k).encode("utf-8", "surrogatepass")] for k in ids[odd].tolist()]
@@ -234,7 +274,8 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
     rank. Characters that no piece spells become byte pieces, as does a literal space mark. As the model asks, a space is put
     before the text; decode() takes it off. lossless: whether decoding ids gives the text again (null with verify=False).
     Equal (doc_id, text, seed) give equal ids on any cluster. A null or empty text has no ids and is lossless (as an
-    empty text); a null doc_id is kept; other columns are ignored. Texts are cut into segments, never truncated; no shuffle.
+    empty text); a null doc_id is kept; repeated rows give equal ids; other columns are ignored. Texts are cut into segments, never
+    truncated: long texts and long runs without a space cost time in proportion to their length. No shuffle.
     """
     proto = Path(model).read_bytes()
 
