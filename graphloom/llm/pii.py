@@ -139,9 +139,14 @@ def belief(field: list[tuple[int, int, int, list[str]]], unary: np.ndarray, skip
 
 
 class Field:
-    """Potentials of the field, from counts over all documents: how often a token of a shape has each label, and how often neighbours have them."""
+    """Potentials of the field, from counts over all documents: how often a token of a shape has each label, how often
+    neighbours have them, and how often two strict spans with an equal key have equal labels, which gives the tie of
+    repeated and similar tokens (PRIOR is what is taken as seen before any). doubt, what a token loses because no strict pattern took it, can't be seen in strict spans and is set."""
 
-    def __init__(self, shapes: dict[tuple[str, int], int], pairs: dict[tuple[int, int], int], doubt: float = 2.0, tie: float = 5.0):
+    #: Agreeing and disagreeing pairs of similar tokens.
+    PRIOR = (150.0, 1.0)
+
+    def __init__(self, shapes: dict[tuple[str, int], int], pairs: dict[tuple[int, int], int], doubt: float = 2.0, tie: float | None = None, agree: int = 0, differ: int = 0):
         k = len(LABELS)
         seen: dict[str, np.ndarray] = {}
         for (s, label), n in shapes.items():
@@ -154,7 +159,8 @@ class Field:
         together /= together.sum()
         lift = np.log(together / together.sum(1, keepdims=True) / together.sum(0, keepdims=True))
         self.chain = np.clip(lift, -0.3, 0.3)
-        self.skip = tie * np.eye(k)
+        self.tie = float(np.log((agree + self.PRIOR[0]) / (differ + self.PRIOR[1]))) if tie is None else tie
+        self.skip = self.tie * np.eye(k)
         self.skip[0, 0] = 0.0  # that two tokens agree on no label is no news
         self.doubt = doubt
 
@@ -189,7 +195,7 @@ def find(text: str | None, field: Field, sure: float = 0.65) -> list[tuple[str,
 
 
 def _counts(text: str | None) -> list[dict]:
-    """Counts of one text as (what, a, b, n): shapes with labels, and labels of neighbours."""
+    """Counts of one text as (what, a, b, n): shapes with labels, labels of neighbours, and whether strict spans with an equal key, each masked from the other, agree."""
     c: Counter = Counter()
     if text and (base := base_spans(text)):
         around = nodes(text, base)
@@ -197,6 +203,12 @@ def _counts(text: str | None) -> list[dict]:
             c["s", shape(text[a:b]), label] += 1
             if i and a - around[i - 1][1] <= 80:
                 c["p", str(around[i - 1][2]), label] += 1
+        last: dict[str, int] = {}
+        for _, _, label, ks in around:
+            if label:
+                for other in {last[x] for x in ks if x in last}:
+                    c["t", "", int(other == label)] += 1
+                last |= dict.fromkeys(ks, label)
     return [{"what": w, "a": a, "b": b, "n": n} for (w, a, b), n in c.items()]
 
 
@@ -204,7 +216,9 @@ def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Counts over all documents, pre-aggregated by task; what reaches the driver is bounded by the number of shapes times labels."""
     counts = per_text(docs, _counts, "array<struct<what:string,a:string,b:int,n:long>>", "c", id_col, text_col).select(F.explode("c").alias("c"))
     rows = counts.groupBy("c.what", "c.a", "c.b").agg(F.sum("c.n").alias("n")).collect()
-    return Field({(r.a, r.b): r.n for r in rows if r.what == "s"}, {(int(r.a), r.b): r.n for r in rows if r.what == "p"})
+    ties = {r.b: r.n for r in rows if r.what == "t"}
+    shapes, pairs = ({(r.a, r.b): r.n for r in rows if r.what == "s"}, {(int(r.a), r.b): r.n for r in rows if r.what == "p"})
+    return Field(shapes, pairs, agree=ties.get(1, 0), differ=ties.get(0, 0))
 
 
 def find_pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -541,3 +541,62 @@ def test_mixing_stage_meets_its_shares(spark):
     own = (p * t[:, None]).sum(0) * [P.TILT[n] for n in sorted(P.TILT)]
     got = (p * (t * out.rate.values)[:, None]).sum(0)
     assert np.abs(got / t.sum() - own / own.sum()).max() < 0.002
+
+
+def test_long_runs_without_spaces(lattices, monkeypatch):
+    import time
+
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefghij") for _ in range(1_000_000))
+    t = time.perf_counter()
+    ids, cuts = lattices.sample([text, "short one"], pieces.row_keys([1, 2], 3))
+    assert time.perf_counter() - t < 90
+    assert lattices.decode(ids[: cuts[1]].tolist()) == text
+    some = [text[:700], "a b " * 50 + text[:300] + "ß😀"]
+    got = lattices.sample(some, pieces.row_keys([1, 2], 3))
+    monkeypatch.setattr(pieces, "LONG", 10**9)  # all at once: the same draws
+    want = lattices.sample(some, pieces.row_keys([1, 2], 3))
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_links_do_not_depend_on_density():
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=8)
+    v = np.array([base + rng.normal(size=8) * s for s in rng.uniform(0, 0.6, 300)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    i, j = collisions.links_between(v, v, 0.9)
+    dense = set(zip(i.tolist(), j.tolist(), strict=True))
+    sparse = {(a, b) for a in range(0, 300, 50) for b in collisions.links_between(v[a : a + 1], v, 0.9)[1].tolist()}
+    assert sparse == {(a, b) for a, b in dense if a % 50 == 0}
+    want = v @ v.T >= 0.9
+    assert len(dense) >= 0.95 * want.sum() and all(want[a, b] for a, b in dense)
+
+
+def test_belief_equals_enumeration_on_trees():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    for _ in range(20):
+        n = int(rng.integers(2, 5))
+        field = [(100 * i, 100 * i + 5, 0, [f"d{0 if i == 0 else rng.integers(0, 2)}"]) for i in range(n)]  # ends too far apart for chain ties
+        last, pairs = {}, []
+        for i, (_, _, _, ks) in enumerate(field):
+            pairs += [(last[x], i) for x in ks if x in last]
+            last |= dict.fromkeys(ks, i)
+        unary, skip = rng.normal(size=(n, k)), 2 * np.eye(k)
+        weight = {x: np.exp(sum(unary[i, l] for i, l in enumerate(x)) + sum(skip[x[a], x[b]] for a, b in pairs)) for x in product(range(k), repeat=n)}
+        total = sum(weight.values())
+        want = np.array([[sum(w for x, w in weight.items() if x[i] == l) / total for l in range(k)] for i in range(n)])
+        got = pii.belief(field, unary, skip, np.zeros((k, k)), rounds=60)
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_field_learns_ties_from_masked_spans(spark):
+    rows = [(i, f"call +1 (456) 555-2{i:03d} or +1 456 555 2{i:03d}; mail a{i}@x.example.org, a{i}@x.example.org") for i in range(60)]
+    learned = pii.fit_field(documents(spark, rows))
+    plain = pii.Field({}, {})
+    assert learned.tie > plain.tie - 1 and learned.skip[1, 1] == learned.tie
+    text = "mail jane.doe@mail.example.com or jane.doe [at] mail.example.com"
+    with_ties, without = pii.find(text, learned), pii.find(text, pii.Field({}, {}, tie=0.0))
+    assert len(with_ties) == 2 and len(without) == 1  # messages change the second token's label
