@@ -15,6 +15,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
 
@@ -32,12 +34,20 @@ def khop(edges: DataFrame, seeds: DataFrame, cutoff: int, both_ways: bool = True
 
 
 def bfs_ball(edges: DataFrame, seeds: DataFrame, radius: int, most: int | None = None) -> DataFrame:
-    """(seed, id, depth) of each seed's neighbourhood: nearest vertices first, ties by id, `most` at most."""
-    ball = khop(edges, seeds, radius)
+    """(seed, id, depth) of each seed's neighbourhood: nearest vertices first, ties by id, `most` at most. Each layer is cut to what a ball still takes before the next one grows, so a hub is opened once, never its neighbours' neighbours."""
     if most is None:
-        return ball
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id"))
-    return ball.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+        return khop(edges, seeds, radius)
+    adj = _cut(adjacency(edges))
+    known = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
+    layer, room = known, seeds.select(F.col("id").alias("seed"), F.lit(most - 1).cast("long").alias("room"))
+    for depth in range(1, radius + 1):
+        found = layer.join(room.where("room > 0"), "seed").join(adj, "id").select("seed", "room", F.col("nbr").alias("id")).distinct()
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("id"))
+        cut = found.join(known.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("r", rank).where("r <= room")
+        layer = _cut(cut.select("seed", "id", F.lit(depth).alias("depth")))
+        known = known.unionByName(layer)
+        room = known.groupBy("seed").agg((F.lit(most) - F.count("*")).alias("room"))
+    return known
 
 
 def neighborhood_edges(edges: DataFrame, balls: DataFrame) -> DataFrame:
@@ -57,18 +67,40 @@ def seed_sample(vertices: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return vertices.select("id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "id")), "id").limit(n)
 
 
+def pairs_of(edges: DataFrame) -> DataFrame:
+    """(src, dst) with src < dst: each pair of joined vertices once, directions and loops dropped."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).union(pairs.select("dst", "src"))
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, directions ignored. Labels fall to the least neighbour's, then to their label's label, so rounds grow with the logarithm of the diameter."""
-    adj = _cut(adjacency(edges))
-    labels = _cut(vertices.select("id", F.col("id").alias("component")))
-    while True:
-        near = adj.join(labels.select(F.col("id").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("id").agg(F.min("c").alias("c"))
-        low = labels.join(near, "id", "left").select("id", "component", F.least("component", "c").alias("c"))
-        jump = low.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = _cut(low.join(jump, "c", "left").select("id", "component", F.coalesce("cc", "c").alias("new")))
-        if new.where("component <> new").isEmpty():
-            return new.select("id", F.col("new").alias("component"))
-        labels = new.select("id", F.col("new").alias("component"))
+    """(id, component): the least id reachable, directions ignored.
+
+    Each round, a vertex hooks onto the neighbour of least hash if that is less than its own; the graph is contracted
+    along the hooks and goes on with the few that are left. Joins are on vertices, with one row a vertex on one side; a hub's
+    neighbours are a pre-aggregated minimum. A dense graph takes two or three rounds, a path a logarithm of its length.
+    """
+    left, hooks = _cut(pairs_of(edges)), []
+    while not left.isEmpty():
+        arcs = _both(left)
+        low = arcs.groupBy("id").agg(F.min_by("nbr", F.xxhash64("nbr")).alias("near"))
+        less = (F.xxhash64("near") < F.xxhash64("id")) | ((F.xxhash64("near") == F.xxhash64("id")) & (F.col("near") < F.col("id")))
+        hook = _cut(low.select("id", F.when(less, F.col("near")).otherwise(F.col("id")).alias("up")))
+        hooks.append(hook)
+        ends = left.join(hook.select(F.col("id").alias("src"), F.col("up").alias("a")), "src").join(hook.select(F.col("id").alias("dst"), F.col("up").alias("b")), "dst")
+        left = _cut(pairs_of(ends.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    if not hooks:
+        return vertices.select("id", F.col("id").alias("component"))
+    tops = hooks[-1].select("id", F.col("up").alias("root"))
+    for hook in reversed(hooks[:-1]):
+        tops = hook.join(tops.select(F.col("id").alias("up"), "root"), "up", "left").select("id", F.coalesce("root", "up").alias("root"))
+    tops = _cut(tops)
+    least = tops.groupBy("root").agg(F.min("id").alias("component"))
+    found = tops.join(least, "root").select("id", "component")
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def largest_component(parts: DataFrame) -> DataFrame:
@@ -93,21 +125,30 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: f
     return rank
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c) of an undirected graph. Edges go from lower to higher degree, so that hubs open few wedges."""
-    adj = adjacency(edges)
-    deg = adj.groupBy("id").agg(F.count("*").alias("d"))
-    low = adj.join(deg, "id").join(deg.select(F.col("id").alias("nbr"), F.col("d").alias("e")), "nbr")
-    arcs = low.where((F.col("d") < F.col("e")) | ((F.col("d") == F.col("e")) & (F.col("id") < F.col("nbr"))))
-    arcs = arcs.select(F.col("id").alias("u"), F.col("nbr").alias("v"))
+def oriented(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of each pair from lower to higher degree, so that hubs open few wedges, and (id, degree). Both are written once and read by all that follows."""
+    pairs = _cut(pairs_of(edges))
+    deg = _cut(_both(pairs).groupBy("id").agg(F.count("*").alias("degree")))
+    at = pairs.join(deg.select(F.col("id").alias("src"), F.col("degree").alias("d")), "src").join(deg.select(F.col("id").alias("dst"), F.col("degree").alias("e")), "dst")
+    up = F.col("d") <= F.col("e")  # src < dst breaks ties
+    return _cut(at.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"))), deg
+
+
+def _triangles(arcs: DataFrame) -> DataFrame:
     wedges = arcs.join(arcs.select("u", F.col("v").alias("w")), "u").where("v < w")
     closing = arcs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"))
-    return wedges.join(closing, ["v", "w"]).select(F.sort_array(F.array("u", "v", "w")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+    return wedges.join(closing, ["v", "w"])
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c) of an undirected graph, a < b < c."""
+    low, high = F.least("u", "v", "w"), F.greatest("u", "v", "w")
+    return _triangles(oriented(edges)[0]).select(low.alias("a"), (F.col("u") + F.col("v") + F.col("w") - low - high).alias("b"), high.alias("c"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """(id, degree, triangles, clustering) of vertices with a neighbour."""
-    t = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
-    d = adjacency(edges).groupBy("id").agg(F.count("*").alias("degree"))
+    arcs, d = oriented(edges)
+    t = _triangles(arcs).select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
     n = F.coalesce("triangles", F.lit(0))
     return d.join(t, "id", "left").select("id", "degree", n.alias("triangles"), F.when(F.col("degree") > 1, 2.0 * n / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))

@@ -52,17 +52,8 @@ def cop_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
 
 
-def sparse_cop(spark: SparkSession, sf_dir: str, part: int = 97) -> tuple[DataFrame, DataFrame]:
-    """The co-purchase graph of orders of one large remainder: a graph of the same kind, sparse enough that sets of four vertices can be listed."""
-    x = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % part == 0).select("l_orderkey", "l_partkey").distinct()
-    e = x.join(x.select("l_orderkey", F.col("l_partkey").alias("q")), "l_orderkey").where("l_partkey < q").select(F.col("l_partkey").alias("src"), F.col("q").alias("dst"), F.lit(None).cast("string").alias("type")).distinct()
-    v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(cop_vertices(spark, sf_dir), "id")
-    return v, e
-
-
 SQL_SV = "sv AS (" + " UNION ALL ".join(f"SELECT {tag * TAG} + CAST({k} AS BIGINT) AS id, '{label}' AS label, {d or 'CAST(NULL AS VARCHAR)'} AS detail FROM {t}" for tag, (label, t, k, d) in enumerate(KINDS, 1)) + ")"
 SQL_SE = "se AS (" + " UNION ALL ".join(f"SELECT {'DISTINCT ' if many else ''}{st * TAG} + CAST({s} AS BIGINT) AS src, {dt * TAG} + CAST({d} AS BIGINT) AS dst, '{kind}' AS type FROM {t}" for kind, t, (st, s), (dt, d), many in LINKS) + ")"
 SQL_COP = "cop AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"
-SQL_SPARSE = "cop AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey % 97 = 0)"
 SQL_ADJ = "adj AS (SELECT src AS id, dst AS nbr FROM cop UNION SELECT dst, src FROM cop)"
 SQL_SADJ = "sadj AS (SELECT src AS id, dst AS nbr FROM se WHERE src <> dst UNION SELECT dst, src FROM se WHERE src <> dst)"

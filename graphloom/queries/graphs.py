@@ -10,7 +10,7 @@ from graphloom.operators import enumerate as E
 from graphloom.operators import features as X
 from graphloom.operators import traverse as T
 from graphloom.operators.report import graph_context
-from graphloom.plans.views import SQL_ADJ, SQL_COP, SQL_SADJ, SQL_SE, SQL_SPARSE, SQL_SV, TAG, cop_edges, cop_vertices, sparse_cop, star_edges, star_vertices, table
+from graphloom.plans.views import SQL_ADJ, SQL_COP, SQL_SADJ, SQL_SE, SQL_SV, TAG, cop_edges, cop_vertices, star_edges, star_vertices, table
 from graphloom.queries.registry import query
 
 query("star_vertices", f"WITH {SQL_SV} SELECT * FROM sv")(star_vertices)
@@ -80,20 +80,20 @@ def non_edges_query(spark, sf):
     return non_edges(ids, induced_edges(cop_edges(spark, sf), ids))
 
 
-@query("khop_distances", f"WITH RECURSIVE {SQL_COP}, {SQL_ADJ}, h(seed, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 20 UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN adj a ON a.id = h.id WHERE h.depth < 2) SELECT seed, id, min(depth) AS depth FROM h GROUP BY seed, id")
+@query("khop_distances", f"WITH RECURSIVE {SQL_COP}, {SQL_ADJ}, h(seed, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 20 = 0 UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN adj a ON a.id = h.id WHERE h.depth < 2) SELECT seed, id, min(depth) AS depth FROM h GROUP BY seed, id")
 def khop_distances(spark, sf):
-    return T.khop(cop_edges(spark, sf), cop_vertices(spark, sf).where("id < 20").select("id"), 2)
+    return T.khop(cop_edges(spark, sf), cop_vertices(spark, sf).where("id % 20 = 0").select("id"), 2)
 
 
-@query("bfs_ball_capped", f"WITH RECURSIVE {SQL_COP}, {SQL_ADJ}, h(seed, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 20 UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN adj a ON a.id = h.id WHERE h.depth < 2), b AS (SELECT seed, id, min(depth) AS depth FROM h GROUP BY seed, id) SELECT seed, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS r FROM b) WHERE r <= 25")
+@query("bfs_ball_capped", f"WITH RECURSIVE {SQL_COP}, {SQL_ADJ}, h(seed, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 20 = 0 UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN adj a ON a.id = h.id WHERE h.depth < 2), b AS (SELECT seed, id, min(depth) AS depth FROM h GROUP BY seed, id) SELECT seed, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS r FROM b) WHERE r <= 25")
 def bfs_ball_capped(spark, sf):
-    return T.bfs_ball(cop_edges(spark, sf), cop_vertices(spark, sf).where("id < 20").select("id"), 2, 25)
+    return T.bfs_ball(cop_edges(spark, sf), cop_vertices(spark, sf).where("id % 20 = 0").select("id"), 2, 25)
 
 
-@query("neighborhood_edges", f"WITH {SQL_COP}, {SQL_ADJ}, h AS (SELECT p_partkey AS seed, p_partkey AS id FROM part WHERE p_partkey < 10 UNION SELECT a.id, a.nbr FROM adj a WHERE a.id < 10) SELECT x.seed, c.src, c.dst FROM cop c JOIN h x ON c.src = x.id JOIN h y ON c.dst = y.id AND x.seed = y.seed")
+@query("neighborhood_edges", f"WITH {SQL_COP}, {SQL_ADJ}, h AS (SELECT p_partkey AS seed, p_partkey AS id FROM part WHERE p_partkey % 20 = 0 UNION SELECT a.id, a.nbr FROM adj a WHERE a.id % 20 = 0) SELECT x.seed, c.src, c.dst FROM cop c JOIN h x ON c.src = x.id JOIN h y ON c.dst = y.id AND x.seed = y.seed")
 def neighborhood_edges(spark, sf):
     e = cop_edges(spark, sf)
-    return T.neighborhood_edges(e, T.bfs_ball(e, cop_vertices(spark, sf).where("id < 10").select("id"), 1)).select("seed", "src", "dst")
+    return T.neighborhood_edges(e, T.bfs_ball(e, cop_vertices(spark, sf).where("id % 20 = 0").select("id"), 1)).select("seed", "src", "dst")
 
 
 @query("dense_relabel", "SELECT n_nationkey AS id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS dense, n_regionkey AS graph_id, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 1 ELSE 0 END AS anchor FROM nation")
@@ -104,17 +104,27 @@ def dense_relabel(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), (r - 1).cast("long").alias("dense"), F.col("n_regionkey").alias("graph_id"), F.when(r == 1, 1).otherwise(0).alias("anchor"))
 
 
-_PARTS = f"WITH RECURSIVE {SQL_SPARSE}, {SQL_ADJ}, r(id, c) AS (SELECT id, id FROM adj UNION SELECT a.nbr, r.c FROM r JOIN adj a ON a.id = r.id), comp AS (SELECT id, min(c) AS component FROM r GROUP BY id)"
+def _parts(adj: str, rounds: int) -> str:
+    """Least ids after so many rounds over neighbours: components, if no two vertices of one are farther apart."""
+    return ", ".join(["c0 AS (SELECT id, id AS c FROM v)", *(f"c{i} AS MATERIALIZED (SELECT p.id, least(p.c, coalesce(min(q.c), p.c)) AS c FROM c{i - 1} p LEFT JOIN {adj} a ON a.id = p.id LEFT JOIN c{i - 1} q ON q.id = a.nbr GROUP BY p.id, p.c)" for i in range(1, rounds + 1)), f"comp AS (SELECT id, c AS component FROM c{rounds})"])
 
 
-@query("components", f"{_PARTS} SELECT id, component FROM comp")
+_COP_PARTS = f"WITH {SQL_COP}, {SQL_ADJ.replace('adj AS', 'adj AS MATERIALIZED')}, v AS (SELECT p_partkey AS id FROM part), {_parts('adj', 8)}"
+
+
+@query("components", f"{_COP_PARTS} SELECT id, component FROM comp")
 def components(spark, sf):
-    return T.components(*sparse_cop(spark, sf))
+    return T.components(cop_vertices(spark, sf), cop_edges(spark, sf))
+
 
+@query("components_star", f"WITH {SQL_SV}, {SQL_SE}, {SQL_SADJ.replace('sadj AS', 'sadj AS MATERIALIZED')}, v AS (SELECT id FROM sv), {_parts('sadj', 10)} SELECT id, component FROM comp")
+def components_star(spark, sf):
+    return T.components(star_vertices(spark, sf), star_edges(spark, sf))
 
-@query("largest_component", f"{_PARTS}, s AS (SELECT component, count(*) AS n FROM comp GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM comp WHERE component IN (SELECT component FROM s)")
+
+@query("largest_component", f"{_COP_PARTS}, s AS (SELECT component, count(*) AS n FROM comp GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM comp WHERE component IN (SELECT component FROM s)")
 def largest_component(spark, sf):
-    return T.largest_component(T.components(*sparse_cop(spark, sf)))
+    return T.largest_component(T.components(cop_vertices(spark, sf), cop_edges(spark, sf)))
 
 
 _TRI = "tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM cop x JOIN cop y ON x.dst = y.src JOIN cop z ON z.src = x.src AND z.dst = y.dst)"
@@ -133,24 +143,23 @@ def clustering_coeff(spark, sf):
 _RANK = ", ".join(f"r{i} AS (SELECT v.id, 0.15 / n.n + 0.85 * (coalesce(g.got, 0) + l.lost / n.n) AS rank FROM v CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)) l LEFT JOIN (SELECT e.dst AS id, sum(r.rank / o.k) AS got FROM e JOIN o ON o.src = e.src JOIN r{i - 1} r ON r.id = e.src GROUP BY e.dst) g ON g.id = v.id)" for i in range(1, 6))
 
 
-@query("pagerank_fixed_iter", f"WITH {SQL_SV}, {SQL_SE}, v AS (SELECT id FROM sv WHERE label IN ('region', 'nation', 'customer', 'supplier')), e AS (SELECT src, dst FROM se WHERE type IN ('in_region', 'in_nation')), o AS (SELECT src, count(*) AS k FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v, n), {_RANK} SELECT id, round(rank, 9) AS rank FROM r5")
+@query("pagerank_fixed_iter", f"WITH {SQL_SV}, {SQL_SE}, v AS (SELECT id FROM sv), e AS (SELECT DISTINCT src, dst FROM se WHERE src <> dst), o AS (SELECT src, count(*) AS k FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v, n), {_RANK} SELECT id, round(rank, 9) AS rank FROM r5")
 def pagerank_fixed_iter(spark, sf):
-    v = star_vertices(spark, sf).where("label in ('region', 'nation', 'customer', 'supplier')")
-    e = star_edges(spark, sf).where("type in ('in_region', 'in_nation')")
-    return T.pagerank(v, e, 5).select("id", F.round("rank", 9).alias("rank"))
+    return T.pagerank(star_vertices(spark, sf), star_edges(spark, sf), 5).select("id", F.round("rank", 9).alias("rank"))
 
 
 _S3 = "s3 AS (SELECT DISTINCT list_sort([a.id, a.nbr, b.nbr]) AS nodes FROM adj a JOIN adj b ON a.nbr = b.id AND b.nbr <> a.id)"
 
 
-@query("esu_size3", f"WITH {SQL_COP}, {SQL_ADJ}, {_S3}, m AS (SELECT nodes, (SELECT count(*) FROM cop WHERE src = nodes[1] AND dst = nodes[2]) + (SELECT count(*) FROM cop WHERE src = nodes[1] AND dst = nodes[3]) + (SELECT count(*) FROM cop WHERE src = nodes[2] AND dst = nodes[3]) AS m FROM s3) SELECT CASE m WHEN 3 THEN '2,2,2' ELSE '1,1,2' END AS degrees, m, count(*) AS n FROM m GROUP BY m".replace(SQL_COP, SQL_SPARSE))
+@query("esu_size3", f"WITH {SQL_COP}, {SQL_ADJ}, {_S3}, m AS (SELECT nodes, (SELECT count(*) FROM cop WHERE src = nodes[1] AND dst = nodes[2]) + (SELECT count(*) FROM cop WHERE src = nodes[1] AND dst = nodes[3]) + (SELECT count(*) FROM cop WHERE src = nodes[2] AND dst = nodes[3]) AS m FROM s3) SELECT CASE m WHEN 3 THEN '2,2,2' ELSE '1,1,2' END AS degrees, m, count(*) AS n FROM m GROUP BY m")
 def esu_size3(spark, sf):
-    return E.motif_counts(sparse_cop(spark, sf)[1], 3)
+    return E.motif_counts(cop_edges(spark, sf), 3)
 
 
-@query("esu_size4", f"WITH {SQL_SPARSE}, {SQL_ADJ}, {_S3}, s4 AS (SELECT DISTINCT list_sort(list_append(nodes, nbr)) AS nodes FROM (SELECT nodes, unnest(nodes) AS id FROM s3) x JOIN adj USING (id) WHERE NOT list_contains(nodes, nbr)), d AS (SELECT nodes, x.id, count(*) AS d FROM (SELECT nodes, unnest(nodes) AS id FROM s4) x JOIN adj ON adj.id = x.id AND list_contains(nodes, nbr) GROUP BY nodes, x.id), g AS (SELECT nodes, CAST(sum(d) / 2 AS BIGINT) AS m, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d) AS degrees FROM d GROUP BY nodes) SELECT degrees, m, count(*) AS n FROM g GROUP BY degrees, m")
+@query("esu_size4")
 def esu_size4(spark, sf):
-    return E.motif_counts(sparse_cop(spark, sf)[1], 4)
+    """The sampled enumeration: a hundredth of the sets of each level, by hash. All sets of four of a graph with hubs are more than any cluster lists."""
+    return E.motif_counts(cop_edges(spark, sf), 4, 0.01)
 
 
 @query("orbit_counts", f"WITH {SQL_COP}, {SQL_ADJ}, {_TRI}, t AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY id), d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), w AS (SELECT adj.id, sum(d.k - 1) AS walks FROM adj JOIN d ON d.id = adj.nbr GROUP BY adj.id) SELECT d.id, k AS edge, CAST(walks - 2 * coalesce(t, 0) AS BIGINT) AS wedge_end, CAST(k * (k - 1) / 2 - coalesce(t, 0) AS BIGINT) AS wedge_mid, coalesce(t, 0) AS triangle FROM d JOIN w USING (id) LEFT JOIN t USING (id)")
@@ -158,13 +167,13 @@ def orbit_counts(spark, sf):
     return X.orbits3(cop_edges(spark, sf))
 
 
-@query("orbit_dominance", f"WITH {SQL_SPARSE}, {SQL_ADJ}, d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), w AS (SELECT adj.id, sum(d.k - 1) AS walks FROM adj JOIN d ON d.id = adj.nbr GROUP BY adj.id), v AS (SELECT d.id, k, walks FROM d JOIN w USING (id)) SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < 200 AND b.id < 200 AND a.id <> b.id AND NOT (a.k < b.k OR a.walks < b.walks)")
+@query("orbit_dominance", f"WITH {SQL_COP}, {SQL_ADJ}, d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), w AS (SELECT adj.id, sum(d.k - 1) AS walks FROM adj JOIN d ON d.id = adj.nbr GROUP BY adj.id), v AS (SELECT d.id, k, walks FROM d JOIN w USING (id)) SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id AND NOT (a.k < b.k OR a.walks < b.walks)")
 def orbit_dominance(spark, sf):
-    e = sparse_cop(spark, sf)[1]
+    e = cop_edges(spark, sf)
     d = degrees(e)
     w = adjacency(e).join(d.select(F.col("id").alias("nbr"), "degree"), "nbr").groupBy("id").agg(F.sum(F.col("degree") - 1).alias("walks"))
-    v = d.join(w, "id").where("id < 200").select("id", F.array("degree", "walks").alias("c"))
-    return v.alias("a").join(v.alias("b"), (F.col("a.id") != F.col("b.id")) & ~S.any_less(F.col("a.c"), F.col("b.c"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    v = d.join(w, "id").select("id", F.array("degree", "walks").alias("c"))
+    return v.where("id % 20 = 0").alias("a").join(v.alias("b"), (F.col("a.id") != F.col("b.id")) & ~S.any_less(F.col("a.c"), F.col("b.c"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @query("dataset_summary", f"WITH {SQL_COP}, n AS (SELECT count(*) AS n FROM part), m AS (SELECT count(*) AS m FROM cop) SELECT n, m, round(2.0::DOUBLE * m / (n * (n - 1)), 9) AS density, CASE WHEN 2.0::DOUBLE * m / (n * (n - 1)) > 0.5 THEN 'very-dense' WHEN 2.0::DOUBLE * m / (n * (n - 1)) > 0.3 THEN 'dense' ELSE 'sparse' END AS file_class, CASE WHEN 2.0::DOUBLE * m / (n * (n - 1)) < 0.1 THEN 'sparse' WHEN 2.0::DOUBLE * m / (n * (n - 1)) < 0.5 THEN 'medium' ELSE 'dense' END AS page_class FROM n, m")
@@ -174,8 +183,8 @@ def dataset_summary(spark, sf):
     return n.select("n", "m", F.round(d, 9).alias("density"), S.density_name(d).alias("file_class"), S.density_class(d).alias("page_class"))
 
 
-@query("mean_path_length", f"WITH RECURSIVE {SQL_SE}, {SQL_SADJ}, a AS (SELECT id, nbr FROM sadj WHERE id < {4 * TAG} AND nbr < {4 * TAG}), h(seed, id, depth) AS (SELECT DISTINCT id, id, 0 FROM a WHERE id < {2 * TAG} UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN a ON a.id = h.id WHERE h.depth < 2), d AS (SELECT seed, id, min(depth) AS depth FROM h GROUP BY seed, id) SELECT seed AS id, round(avg(depth), 6) AS mean_path FROM d WHERE depth > 0 GROUP BY seed")
+@query("mean_path_length", f"WITH RECURSIVE {SQL_SE}, {SQL_SADJ}, a AS MATERIALIZED (SELECT id, nbr FROM sadj), h(seed, id, depth) AS (SELECT DISTINCT id, id, 0 FROM a WHERE id < {2 * TAG} UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN a ON a.id = h.id WHERE h.depth < 2), d AS (SELECT seed, id, min(depth) AS depth FROM h GROUP BY seed, id) SELECT seed AS id, round(avg(depth), 6) AS mean_path FROM d WHERE depth > 0 GROUP BY seed")
 def mean_path_length(spark, sf):
-    e = star_edges(spark, sf).where(f"type in ('in_region', 'in_nation') and src < {4 * TAG} and dst < {4 * TAG}")
+    e = star_edges(spark, sf)
     seeds = star_vertices(spark, sf).where("label = 'region'").select("id")
     return X.mean_path_length(e, seeds, 2).select("id", F.round("mean_path", 6).alias("mean_path"))

@@ -51,10 +51,10 @@ def label_vocab(spark, sf):
     return V.build(table(spark, sf, "part"), "p_brand")
 
 
-@query("vocab_encode", "WITH v AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS id FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 3)) SELECT p.p_partkey, coalesce(v.id, 0) AS label_id FROM part p LEFT JOIN v USING (p_brand)")
+@query("vocab_encode", "WITH v AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS id FROM (SELECT DISTINCT p_brand FROM part)) SELECT p.p_partkey, coalesce(v.id, 0) AS label_id FROM part p LEFT JOIN v USING (p_brand)")
 def vocab_encode(spark, sf):
     p = table(spark, sf, "part")
-    return V.encode(p, "p_brand", V.build(p.where("p_size < 3"), "p_brand"), "label_id").select("p_partkey", "label_id")
+    return V.encode(p, "p_brand", V.build(p, "p_brand"), "label_id").select("p_partkey", "label_id")
 
 
 @query("label_sources_union", "SELECT DISTINCT label FROM (SELECT p_brand AS label FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT event_type FROM events UNION SELECT unnest(['Gene', 'TF']))")
@@ -89,7 +89,7 @@ def pair_hash_type(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("a")).distinct()
     b = table(spark, sf, "part").select(F.col("p_type").alias("b")).distinct()
     types = F.array(*map(F.lit, PRESETS["biology"]["types"]))
-    p = a.crossJoin(F.broadcast(b.limit(1000))).withColumn("h", S.pair_hash(F.col("a"), F.col("b")))
+    p = a.crossJoin(b).withColumn("h", S.pair_hash(F.col("a"), F.col("b")))
     return p.select("a", "b", "h", (F.col("h") % 4 + 1).alias("type_id"), F.element_at(types, (F.col("h") % 4 + 1).cast("int")).alias("type"))
 
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from graphloom.operators import canon as C
 from graphloom.operators import features as X
 from graphloom.operators import match as M
-from graphloom.plans.views import SQL_ADJ, SQL_COP, SQL_SE, SQL_SPARSE, SQL_SV, cop_edges, cop_vertices, sparse_cop, star_edges, star_vertices, table
+from graphloom.plans.views import SQL_ADJ, SQL_COP, SQL_SE, SQL_SV, TAG, cop_edges, cop_vertices, star_edges, star_vertices, table
 from graphloom.queries.registry import query
 
 CYCLE = M.Pattern({"c": "customer", "o": "order", "s": "supplier", "n": "nation"}, [("c", "o", "placed"), ("o", "s", "shipped_by"), ("c", "n", "in_nation"), ("s", "n", "in_nation")])
 WEDGE = M.Pattern({"a": None, "m": None, "b": None}, [("a", "m", None), ("m", "b", None)], directed=False)
 STAR = M.Pattern({"n": "nation", "c": "customer", "s": "supplier", "r": "region"}, [("n", "r", "in_region"), ("c", "n", "in_nation"), ("s", "n", "in_nation")])
 TRIANGLE = M.Pattern({"x": None, "y": None, "z": None}, [("x", "y", None), ("y", "z", None), ("x", "z", None)], directed=False)
-CYCLE_SQL = f"WITH {SQL_SV}, {SQL_SE} SELECT p.src AS c, p.dst AS o, h.dst AS s, a.dst AS n FROM se p JOIN se h ON p.type = 'placed' AND h.type = 'shipped_by' AND p.dst = h.src JOIN se a ON a.type = 'in_nation' AND a.src = p.src JOIN se b ON b.type = 'in_nation' AND b.src = h.dst AND a.dst = b.dst"
+CYCLE_SQL = f"SELECT {3 * TAG} + c_custkey AS c, {6 * TAG} + o_orderkey AS o, {4 * TAG} + s_suppkey AS s, {2 * TAG} + c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey"
 
 
 @query("match_4cycle", CYCLE_SQL)
@@ -37,9 +37,10 @@ def match_triangle(spark, sf):
     return M.count_embeddings(TRIANGLE, cop_vertices(spark, sf), cop_edges(spark, sf))
 
 
-@query("match_induced", f"WITH {SQL_SPARSE}, {SQL_ADJ} SELECT x.id AS m, x.nbr AS a, y.nbr AS b FROM adj x JOIN adj y ON x.id = y.id AND x.nbr <> y.nbr WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.id = x.nbr AND z.nbr = y.nbr)")
+@query("match_induced", f"WITH {SQL_COP}, {SQL_ADJ} SELECT x.id AS m, count(*) AS n FROM adj x JOIN adj y ON x.id = y.id AND x.nbr <> y.nbr WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.id = x.nbr AND z.nbr = y.nbr) GROUP BY x.id")
 def match_induced(spark, sf):
-    return M.match(WEDGE.induced(), *sparse_cop(spark, sf))
+    """Induced wedges by their middle vertex."""
+    return M.match(WEDGE.induced(), cop_vertices(spark, sf), cop_edges(spark, sf)).groupBy("m").agg(F.count("*").alias("n"))
 
 
 @query("match_capped", f"WITH {SQL_COP}, f AS (SELECT count(*) AS f FROM cop x JOIN cop y ON x.dst = y.src JOIN cop z ON z.src = x.src AND z.dst = y.dst) SELECT least(f * 6, 10000) AS n FROM f")
@@ -61,7 +62,7 @@ def match_graph_support(spark, sf):
     return M.graph_support(CYCLE, v.join(nation, "id", "left"), star_edges(spark, sf))
 
 
-@query("match_typed_labelled", f"WITH {SQL_SV}, {SQL_SE} SELECT o.src AS c, o.dst AS o, i.dst AS p FROM se o JOIN se i ON o.type = 'placed' AND i.type = 'contains' AND i.src = o.dst JOIN sv a ON a.id = o.src AND a.detail = 'BUILDING' JOIN sv b ON b.id = i.dst AND b.detail = 'Brand#1'")
+@query("match_typed_labelled", f"SELECT {3 * TAG} + c_custkey AS c, {6 * TAG} + o_orderkey AS o, {5 * TAG} + p_partkey AS p FROM orders JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING' JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey AND p_brand = 'Brand#1'")
 def match_typed_labelled(spark, sf):
     v = star_vertices(spark, sf).select("id", F.coalesce("detail", "label").alias("label"))
     return M.match(M.Pattern({"c": "BUILDING", "o": "order", "p": "Brand#1"}, [("c", "o", "placed"), ("o", "p", "contains")]), v, star_edges(spark, sf))
@@ -89,16 +90,18 @@ def query_target_prune(spark, sf):
     return M.prune_pairs(q, _nation_graphs(spark, sf))
 
 
-_WL0 = f"WITH {SQL_SV}, {SQL_SE}, e AS (SELECT src, dst, type FROM se WHERE type IN ('in_region', 'in_nation')), arc AS (SELECT src AS id, dst AS nbr, 'f:' || type || ':' AS how FROM e UNION ALL SELECT dst, src, 'b:' || type || ':' FROM e), h0 AS (SELECT id, md5(label) AS hash FROM sv WHERE label IN ('region', 'nation', 'customer', 'supplier'))"
+_WL0 = f"WITH {SQL_SV}, {SQL_SE}, arc AS (SELECT src AS id, dst AS nbr, 'f:' || type || ':' AS how FROM se UNION ALL SELECT dst, src, 'b:' || type || ':' FROM se), h0 AS (SELECT id, md5(label) AS hash FROM sv)"
+
+#: A multiset of hashes m as four sums and a count.
+_BAG = " || ',' || ".join([*(f"sum(('0x' || substr(m, {1 + 8 * i}, 8))::BIGINT)::BIGINT::VARCHAR" for i in range(4)), "count(*)::VARCHAR"])
 
 
 def _wl(i):
-    return f"h{i} AS (SELECT h.id, md5(h.hash || '|' || coalesce(t.m, '')) AS hash FROM h{i - 1} h LEFT JOIN (SELECT a.id, string_agg(a.how || x.hash, ',' ORDER BY a.how || x.hash) AS m FROM arc a JOIN h{i - 1} x ON x.id = a.nbr GROUP BY a.id) t ON t.id = h.id)"
+    return f"h{i} AS (SELECT h.id, md5(h.hash || '|' || coalesce(t.m, '')) AS hash FROM h{i - 1} h LEFT JOIN (SELECT id, {_BAG} AS m FROM (SELECT a.id, md5(a.how || x.hash) AS m FROM arc a JOIN h{i - 1} x ON x.id = a.nbr) GROUP BY id) t ON t.id = h.id)"
 
 
 def _wl_nodes(spark, sf, rounds):
-    v = star_vertices(spark, sf).where("label in ('region', 'nation', 'customer', 'supplier')")
-    return C.wl_nodes(v, star_edges(spark, sf).where("type in ('in_region', 'in_nation')"), rounds)
+    return C.wl_nodes(star_vertices(spark, sf), star_edges(spark, sf), rounds)
 
 
 @query("wl_hash_nodes", f"{_WL0}, {_wl(1)}, {_wl(2)} SELECT id, hash FROM h2")
@@ -106,20 +109,19 @@ def wl_hash_nodes(spark, sf):
     return _wl_nodes(spark, sf, 2)
 
 
-@query("wl_hash_graph", f"{_WL0}, {_wl(1)}, g AS (SELECT id // 1000000000000 AS graph_id, hash FROM h1) SELECT graph_id, count(*) AS n, md5(string_agg(hash, ',' ORDER BY hash)) AS hash FROM g GROUP BY graph_id")
+@query("wl_hash_graph", f"{_WL0}, {_wl(1)}, g AS (SELECT id // 1000000000000 AS graph_id, hash AS m FROM h1) SELECT graph_id, count(*) AS n, md5({_BAG}) AS hash FROM g GROUP BY graph_id")
 def wl_hash_graph(spark, sf):
     return C.wl_graphs(_wl_nodes(spark, sf, 1).withColumn("graph_id", F.floor(F.col("id") / 10**12)))
 
 
-@query("iso_classes", f"WITH {SQL_SPARSE}, {SQL_ADJ}, lab AS (SELECT p_partkey AS id, p_brand AS label FROM part), tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM cop x JOIN cop y ON x.dst = y.src JOIN cop z ON z.src = x.src AND z.dst = y.dst), k AS (SELECT 'K3:' || array_to_string(list_sort([l1.label, l2.label, l3.label]), ',') AS code FROM tri JOIN lab l1 ON l1.id = a JOIN lab l2 ON l2.id = b JOIN lab l3 ON l3.id = c UNION ALL SELECT 'P3:' || l.label || '(' || least(l1.label, l2.label) || ',' || greatest(l1.label, l2.label) || ')' FROM adj x JOIN adj y ON x.id = y.id AND x.nbr < y.nbr JOIN lab l ON l.id = x.id JOIN lab l1 ON l1.id = x.nbr JOIN lab l2 ON l2.id = y.nbr WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.id = x.nbr AND z.nbr = y.nbr)) SELECT code, count(*) AS n FROM k GROUP BY code")
+@query("iso_classes", f"WITH {SQL_COP}, {SQL_ADJ}, lab AS (SELECT p_partkey AS id, p_brand AS label FROM part), tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM cop x JOIN cop y ON x.dst = y.src JOIN cop z ON z.src = x.src AND z.dst = y.dst), k AS (SELECT 'K3:' || array_to_string(list_sort([l1.label, l2.label, l3.label]), ',') AS code FROM tri JOIN lab l1 ON l1.id = a JOIN lab l2 ON l2.id = b JOIN lab l3 ON l3.id = c UNION ALL SELECT 'P3:' || l.label || '(' || least(l1.label, l2.label) || ',' || greatest(l1.label, l2.label) || ')' FROM adj x JOIN adj y ON x.id = y.id AND x.nbr < y.nbr JOIN lab l ON l.id = x.id JOIN lab l1 ON l1.id = x.nbr JOIN lab l2 ON l2.id = y.nbr WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.id = x.nbr AND z.nbr = y.nbr)) SELECT code, count(*) AS n FROM k GROUP BY code")
 def iso_classes(spark, sf):
-    v, e = sparse_cop(spark, sf)
-    return C.iso_classes3(e, v)
+    return C.iso_classes3(cop_edges(spark, sf), cop_vertices(spark, sf))
 
 
 @query("canonical_codes")
 def canonical_codes(spark, sf):
-    """Orders as small labelled graphs, with their canonical codes."""
-    i = table(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey").agg(F.slice(F.collect_list("l_returnflag"), 1, 4).alias("labels"))
+    """Orders as small labelled graphs of their return flags (three at most), with their canonical codes."""
+    i = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("labels"))
     i = i.withColumn("arcs", F.transform(F.sequence(F.lit(0), F.size("labels") - 1), lambda k: F.struct(F.lit(0).alias("src"), k.alias("dst"), F.lit("next").alias("type"))))
     return C.canonical(i).groupBy("code").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from graphloom.operators import traverse as T
 from graphloom.plans.views import cop_edges, cop_vertices, table
 from graphloom.queries.registry import query
 
-SPEC = S.MineSpec(n_neighborhoods=60, n_trials=40, radius=1, neighborhood_size=20)
+SPEC = S.MineSpec()
 
 
 def _store(spark, sf, spec=SPEC):

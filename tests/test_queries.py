@@ -4,6 +4,8 @@ import math
 
 import pytest
 
+from graphloom.queries import ORACLE_SQL
+
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,14 +21,13 @@ def plain(v):
     return str(v)
 
 
-NAMES = ["star_edges", "match_4cycle", "match_induced", "clustering_coeff", "bfs_ball_capped", "wl_hash_nodes", "pattern_json", "auroc", "stream_sessions", "size_rank_topk", "edge_attr_sanitize", "iso_classes"]
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     import os
 
-    from graphloom.queries import ORACLE_SQL, QUERIES
+    from graphloom.queries import QUERIES
 
     if not os.path.isdir(SF):
         pytest.skip("no tables")
