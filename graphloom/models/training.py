@@ -11,6 +11,12 @@ PRESETS = {
     "biology": {"high": (("TF", 0.60), ("Gene", 0.25), ("Enzyme", 0.15)), "mid": (("Gene", 0.45), ("mRNA", 0.35), ("Enzyme", 0.20)), "low": (("Metabolite", 0.60), ("mRNA", 0.25), ("Gene", 0.15)), "types": ("regulates", "transcribes", "translates", "catalyzes")},
     "ecommerce": {"high": (("product", 0.55), ("category", 0.30), ("brand", 0.15)), "mid": (("customer", 0.45), ("product", 0.35), ("brand", 0.20)), "low": (("review", 0.60), ("customer", 0.25), ("brand", 0.15)), "types": ("viewed", "purchased", "belongs_to", "made_by", "wrote")},
     "social": {"high": (("influencer", 0.60), ("community", 0.25), ("user", 0.15)), "mid": (("user", 0.55), ("creator", 0.25), ("community", 0.20)), "low": (("new_user", 0.60), ("bot", 0.25), ("user", 0.15)), "types": ("follows", "mentions", "replies_to", "belongs_to")},
+    "universal": {
+        "high": (("Hub Entity", 0.18), ("Gene", 0.12), ("User", 0.12), ("Product", 0.12), ("Organization", 0.10), ("Protein", 0.10), ("Category", 0.09), ("Compound", 0.09), ("Topic", 0.08)),
+        "mid": (("Entity", 0.16), ("Document", 0.12), ("Disease", 0.10), ("Book", 0.10), ("Music", 0.08), ("Pathway", 0.08), ("Customer", 0.08), ("Creator", 0.08), ("Anatomy", 0.07), ("Location", 0.07), ("Event", 0.06)),
+        "low": (("Leaf Entity", 0.16), ("Review", 0.12), ("Side Effect", 0.10), ("Symptom", 0.10), ("Metabolite", 0.09), ("Tag", 0.09), ("Comment", 0.08), ("Image", 0.07), ("Article", 0.07), ("Video", 0.06), ("Record", 0.06)),
+        "types": tuple(f"relation_{i:02d}" for i in range(1, 64)),
+    },
 }
 
 
@@ -94,52 +100,154 @@ def synthetic_graphs(spark: SparkSession, n: int, size: tuple[int, int] = (10, 3
     return spark.range(n).mapInPandas(run, "graph_id bigint, kind string, n int, edges array<struct<src:bigint,dst:bigint>>")
 
 
-def pair_batches(graphs: DataFrame, seed: int = 42, label_negatives: float = 0.25, hard_negatives: float = 0.25) -> DataFrame:
-    """(pair_id, label, kind, a, b): edge lists where b is (label 1) or isn't (0) a subgraph of a. Positives are nested connected samples; negatives have an edge too many, a foreign sample, or a changed label."""
+def _grow(nbr: dict[int, set[int]], start: int, k: int, rng: np.random.Generator) -> set[int]:
+    have, around = {start}, set(nbr[start])
+    while len(have) < k and around:
+        v = int(rng.choice(sorted(around)))
+        have.add(v)
+        around = (around | nbr[v]) - have
+    return have
 
-    def grow(nbr, start, k, rng):
-        have, around = {start}, set(nbr[start])
-        while len(have) < k and around:
-            v = int(rng.choice(sorted(around)))
-            have.add(v)
-            around = (around | nbr[v]) - have
-        return have
+
+#: Labels of generated pairs; a changed label is the one after these, which no target has.
+N_LABELS = 4
+
+
+def labelled_pair(n: int, edges: list[tuple[int, int]], kind: str, rng: np.random.Generator) -> tuple[dict[int, int], list, dict[int, int], list]:
+    """(labels of a, edges of a, labels of b, edges of b): a is a connected sample of the graph, b a connected sample of a (positive), or one that can't lie in a: with a label that a lacks (label), with 1 to 5 edges more than a subgraph of its size and labels could have (hard), or with more edges and vertices than a (structure)."""
+    nbr: dict[int, set[int]] = {v: set() for v in range(n)}
+    for x, y in edges:
+        nbr[x].add(y)
+        nbr[y].add(x)
+    big = _grow(nbr, int(rng.integers(n)), max(3, n // 2), rng)
+    inner = {v: nbr[v] & big for v in big}
+    small = _grow(inner, int(rng.choice(sorted(big))), max(2, len(big) // 2), rng)
+    labels = {v: int(rng.integers(N_LABELS)) for v in sorted(big)}
+    a = [(x, y) for x in sorted(big) for y in sorted(inner[x]) if x < y]
+    b = [(x, y) for x, y in a if x in small and y in small]
+    of_b = {v: labels[v] for v in sorted(small)}
+    if kind == "label":
+        of_b[int(rng.choice(sorted(small)))] = N_LABELS
+    elif kind == "hard":
+        order = sorted(small)
+        free = [(x, y) for i, x in enumerate(order) for y in order[i + 1 :] if (x, y) not in set(b)]
+        rng.shuffle(free)
+        extra = int(rng.integers(1, 6))
+        top = max(len(inner[v]) for v in big)
+        for x, y in map(tuple, free):
+            if extra <= 0 and _degree(b) > top:
+                break
+            b.append((int(x), int(y)))
+            extra -= 1
+        while _degree(b) <= top:  # a vertex with more neighbours than any of a's
+            hub, new = order[0], max(of_b) + 1 + n
+            of_b[new] = of_b[hub]
+            b.append((hub, new))
+    elif kind == "structure":
+        of_b, b = dict(labels), list(a)
+        new, hub = max(big) + 1 + n, min(big)
+        of_b[new] = 0
+        b.append((hub, new))
+    return labels, a, of_b, b
+
+
+def _degree(edges: list[tuple[int, int]]) -> int:
+    count: dict[int, int] = {}
+    for x, y in edges:
+        count[x] = count.get(x, 0) + 1
+        count[y] = count.get(y, 0) + 1
+    return max(count.values(), default=0)
+
+
+def pair_batches(graphs: DataFrame, seed: int = 42, label_negatives: float = 0.25, hard_negatives: float = 0.25, balanced: bool = True) -> DataFrame:
+    """(pair_id, label, kind, a, b, a_labels, b_labels): edge lists and labels by vertex, where b lies (label 1) in a or doesn't (0), with its labels.
+
+    balanced: every other pair is a negative of a stated kind. Else the imbalanced source: a and b are samples of
+    one graph drawn apart, and the label is what an exact test says.
+    """
 
     def run(batches):
         import pandas as pd
 
+        as_rows = lambda e: [{"src": int(x), "dst": int(y)} for x, y in e]
         for pdf in batches:
             rows = []
             for g, n, edges in zip(pdf.graph_id, pdf.n, pdf.edges, strict=True):
                 rng = np.random.default_rng([seed, int(g), 1])
-                nbr = {v: set() for v in range(n)}
-                for x in edges:
-                    nbr[x["src"]].add(x["dst"])
-                    nbr[x["dst"]].add(x["src"])
-                big = grow(nbr, int(rng.integers(n)), max(3, n // 2), rng)
-                inner = {v: nbr[v] & big for v in big}
-                small = grow(inner, int(rng.choice(sorted(big))), max(2, len(big) // 2), rng)
-                a = [(x, y) for x in sorted(big) for y in sorted(inner[x]) if x < y]
-                b = [(x, y) for x, y in a if x in small and y in small]
+                pairs = [(int(x["src"]), int(x["dst"])) for x in edges]
                 u, kind, label = rng.random(), "positive", 1
-                if g % 2:
+                if balanced and g % 2:
                     label = 0
-                    if u < label_negatives:
-                        kind = "label"
-                    elif u < label_negatives + hard_negatives or len(b) < 2:
-                        kind = "hard"
-                        s = len(small)
-                        b = [(x, y) for i, x in enumerate(sorted(small)) for y in sorted(small)[i + 1 :]]
-                        if len(b) <= len(a):
-                            b += [(max(small) + 1 + i, min(small)) for i in range(len(a) - len(b) + s)]
-                    else:
-                        kind = "structure"
-                        b = a + [(max(big) + 1, min(big))]
-                rows.append((g, label, kind, [{"src": int(x), "dst": int(y)} for x, y in a], [{"src": int(x), "dst": int(y)} for x, y in b]))
-            yield pd.DataFrame(rows, columns=["pair_id", "label", "kind", "a", "b"])
-
-    e = "array<struct<src:bigint,dst:bigint>>"
-    return graphs.mapInPandas(run, f"pair_id bigint, label int, kind string, a {e}, b {e}")
+                    kind = "label" if u < label_negatives else "hard" if u < label_negatives + hard_negatives else "structure"
+                la, a, lb, b = labelled_pair(int(n), pairs, kind, rng)
+                if not balanced:
+                    _, _, lb, b = labelled_pair(int(n), pairs, "positive", rng)
+                    lb = {v: la.get(v, x) for v, x in lb.items()}
+                    label, kind = int(contains(la, a, lb, b)), "drawn"
+                rows.append((g, label, kind, as_rows(a), as_rows(b), la, lb))
+            yield pd.DataFrame(rows, columns=["pair_id", "label", "kind", "a", "b", "a_labels", "b_labels"])
+
+    e, m = "array<struct<src:bigint,dst:bigint>>", "map<bigint,int>"
+    return graphs.mapInPandas(run, f"pair_id bigint, label int, kind string, a {e}, b {e}, a_labels {m}, b_labels {m}")
+
+
+def contains(a_labels: dict[int, int], a: list, b_labels: dict[int, int], b: list) -> bool:
+    """Whether b is a subgraph of a, labels kept, edges of b among a's: an exact search for small graphs."""
+    near: dict[int, set[int]] = {v: set() for v in a_labels}
+    for x, y in a:
+        near[x].add(y)
+        near[y].add(x)
+    want: dict[int, set[int]] = {v: set() for v in b_labels}
+    for x, y in b:
+        want[x].add(y)
+        want[y].add(x)
+    order: list[int] = []
+    while len(order) < len(want):  # each next one next to an earlier one, where it can be
+        rest = [v for v in want if v not in order]
+        order.append(max(rest, key=lambda v: (len(want[v] & set(order)), len(want[v]))))
+    to: dict[int, int] = {}
+
+    def place(i: int) -> bool:
+        if i == len(order):
+            return True
+        v = order[i]
+        done = [to[x] for x in want[v] if x in to]
+        some = set.intersection(*(near[x] for x in done)) if done else set(near)
+        for w in sorted(some - set(to.values())):
+            if a_labels[w] == b_labels[v] and len(near[w]) >= len(want[v]):
+                to[v] = w
+                if place(i + 1):
+                    return True
+                del to[v]
+        return False
+
+    return place(0)
+
+
+def pairs_from_graph(vertices: DataFrame, edges: DataFrame, n: int, size: int = 20, seed: int = 42) -> DataFrame:
+    """The single-graph source: n neighbourhoods of one large graph as (graph_id, n, edges), with places for ids, as pair_batches() takes them."""
+    from pyspark.sql import Window
+
+    from graphloom.operators.traverse import bfs_ball, neighborhood_edges, seed_sample
+
+    ball = bfs_ball(edges, seed_sample(vertices, n, seed), 3, size)
+    place = ball.withColumn("at", (F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id")) - 1).cast("long"))
+    e = neighborhood_edges(edges, ball).join(place.select("seed", F.col("id").alias("src"), F.col("at").alias("x")), ["seed", "src"]).join(place.select("seed", F.col("id").alias("dst"), F.col("at").alias("y")), ["seed", "dst"])
+    graphs = e.groupBy("seed").agg(F.array_sort(F.collect_set(F.struct(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))).alias("edges"))  # a neighbourhood's edges
+    many = place.groupBy("seed").agg(F.count("*").cast("int").alias("n")).where("n > 3")
+    return graphs.join(many, "seed").select(F.col("seed").alias("graph_id"), "n", "edges")
+
+
+def source(name: str, spark: SparkSession, n: int, seed: int = 42, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Labelled pairs by the tokens of a source's name: syn or a single graph (node, with vertices and edges), balanced or imbalanced."""
+    tokens = set(name.split("-"))
+    if "node" in tokens or edges is not None:
+        graphs = pairs_from_graph(vertices, edges, n, seed=seed)
+    elif "syn" in tokens:
+        graphs = synthetic_graphs(spark, n, seed=seed)
+    else:
+        raise ValueError(f"no source is called {name}")
+    return pair_batches(graphs, seed, balanced="imbalanced" not in tokens)
 
 
 def batch_mix(size: int, label_ratio: float, hard_ratio: float) -> dict[str, int]:

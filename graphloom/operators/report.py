@@ -76,3 +76,18 @@ def motif_rollup(instances: DataFrame) -> DataFrame:
 def open_tasks(tasks: DataFrame, done: DataFrame, known_bad: DataFrame) -> DataFrame:
     """Tasks (task_id, ...) neither done nor known to be bad: a resumed run counts each task once."""
     return tasks.join(done.select("task_id"), "task_id", "left_anti").join(known_bad.select("task_id"), "task_id", "left_anti")
+
+
+def pattern_lookup(instances: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """A pattern's metadata with its first instances by id: rows (pattern_key, ...) of that key, `most` at most."""
+    return instances.where(F.col("pattern_key") == key).orderBy("id").limit(most)
+
+
+def labelled_zero(vertices: DataFrame, graph_labels: DataFrame) -> DataFrame:
+    """Vertices of the graphs whose own label is 0: what a graph-labelled task mines."""
+    return vertices.join(graph_labels.where("label = 0").select("graph_id"), "graph_id", "left_semi")
+
+
+def log_score(chances: DataFrame) -> DataFrame:
+    """(pattern, score): the sum over targets of the logarithm of the chance that a target doesn't hold the pattern, of rows (pattern, target, p_contained)."""
+    return chances.groupBy("pattern").agg(F.sum(F.log(F.greatest(1 - F.col("p_contained"), F.lit(1e-12)))).alias("score"))

@@ -96,6 +96,23 @@ def neighborhood_edges(spark, sf):
     return T.neighborhood_edges(e, T.bfs_ball(e, cop_vertices(spark, sf).where("id % 20 = 0").select("id"), 1)).select("seed", "src", "dst")
 
 
+@query("reaching_seeds", f"WITH RECURSIVE {SQL_COP}, {SQL_ADJ}, h(seed, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 20 = 0 UNION SELECT h.seed, a.nbr, h.depth + 1 FROM h JOIN adj a ON a.id = h.id WHERE h.depth < 1) SELECT seed AS id, count(DISTINCT id) AS reached FROM h GROUP BY seed HAVING count(DISTINCT id) >= 100")
+def reaching_seeds(spark, sf):
+    from graphloom.operators.sample import reaching
+
+    return reaching(cop_edges(spark, sf), cop_vertices(spark, sf).where("id % 20 = 0").select("id"), 100, 1)
+
+
+@query("log_score_votes", "SELECT b.vec_id AS pattern, round(sum(ln(greatest(1 - 1 / (1 + exp(-(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(greatest(z[2]::DOUBLE - z[1]::DOUBLE, 0), 2))) * -4.0 + 4.0))), 1e-12))), 3) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 GROUP BY b.vec_id")
+def log_score_votes(spark, sf):
+    from graphloom.operators.orderemb import violations
+    from graphloom.operators.report import log_score
+
+    t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    chance = violations(t.where("id % 20 = 0"), t).withColumn("p_contained", 1 / (1 + F.exp(-(F.col("violation") * -4.0 + 4.0))))
+    return log_score(chance).withColumn("score", F.round("score", 3))
+
+
 @query("dense_relabel", "SELECT n_nationkey AS id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS dense, n_regionkey AS graph_id, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 1 ELSE 0 END AS anchor FROM nation")
 def dense_relabel(spark, sf):
     from pyspark.sql import Window
@@ -148,10 +165,7 @@ def pagerank_fixed_iter(spark, sf):
     return T.pagerank(star_vertices(spark, sf), star_edges(spark, sf), 5).select("id", F.round("rank", 9).alias("rank"))
 
 
-_S3 = "s3 AS (SELECT DISTINCT list_sort([a.id, a.nbr, b.nbr]) AS nodes FROM adj a JOIN adj b ON a.nbr = b.id AND b.nbr <> a.id)"
-
-
-@query("esu_size3", f"WITH {SQL_COP}, {SQL_ADJ}, {_S3}, m AS (SELECT nodes, (SELECT count(*) FROM cop WHERE src = nodes[1] AND dst = nodes[2]) + (SELECT count(*) FROM cop WHERE src = nodes[1] AND dst = nodes[3]) + (SELECT count(*) FROM cop WHERE src = nodes[2] AND dst = nodes[3]) AS m FROM s3) SELECT CASE m WHEN 3 THEN '2,2,2' ELSE '1,1,2' END AS degrees, m, count(*) AS n FROM m GROUP BY m")
+@query("esu_size3", f"WITH {SQL_COP}, {SQL_ADJ}, {_TRI}, t AS (SELECT count(*) AS t FROM tri), w AS (SELECT CAST(sum(k * (k - 1) / 2) AS BIGINT) AS w FROM (SELECT count(*) AS k FROM adj GROUP BY id)) SELECT '2,2,2' AS degrees, 3 AS m, t AS n FROM t UNION ALL SELECT '1,1,2', 2, w - 3 * t FROM t, w")
 def esu_size3(spark, sf):
     return E.motif_counts(cop_edges(spark, sf), 3)
 

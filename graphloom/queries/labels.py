@@ -268,3 +268,51 @@ def cop_brand_types(spark, sf):
     return e.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+
+
+def _drawn(u: str, weights) -> str:
+    total, upto, out = sum(w for _, w in weights), 0.0, []
+    for label, w in weights[:-1]:
+        upto += w
+        out.append(f"WHEN {u} < {upto / total!r} THEN '{label}'")
+    return f"CASE {' '.join(out)} ELSE '{weights[-1][0]}' END"
+
+
+def _uniform(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _annotated_sql() -> str:
+    from graphloom.models.training import PRESETS
+    from graphloom.plans.views import SQL_ADJ, SQL_COP
+
+    spec = PRESETS["universal"]
+    case = " ".join(f"WHEN bucket = '{b}' THEN {_drawn('u', spec[b])}" for b in ("high", "mid"))
+    return f"WITH {SQL_COP}, {SQL_ADJ}, d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), q AS (SELECT quantile_cont(k, 0.35) AS q1, quantile_cont(k, 0.75) AS q2 FROM d), b AS (SELECT p_partkey AS id, CASE WHEN k >= q2 THEN 'high' WHEN k <= q1 THEN 'low' WHEN k IS NOT NULL THEN 'mid' END AS bucket, {_uniform('42', 'p_partkey', '1')} AS u, {_uniform('42', 'p_partkey', '2')} AS w FROM part LEFT JOIN d ON id = p_partkey CROSS JOIN q) SELECT id, CASE WHEN w >= 0.1 THEN CASE {case} ELSE {_drawn('u', spec['low'])} END END AS label FROM b"
+
+
+@query("annotated_vertices", _annotated_sql())
+def annotated_vertices(spark, sf):
+    from graphloom.models.annotate import annotate
+    from graphloom.plans.views import cop_edges, cop_vertices
+
+    return annotate(cop_vertices(spark, sf), cop_edges(spark, sf), "universal", 0.1)[0]
+
+
+@query("annotated_edges")
+def annotated_edges(spark, sf):
+    from graphloom.models.annotate import annotate
+    from graphloom.plans.views import cop_edges, cop_vertices
+
+    return annotate(cop_vertices(spark, sf), cop_edges(spark, sf), "biology", 0.1)[1].groupBy("type", "type_id").agg(F.count("*").alias("n"))
+
+
+_LAW = [(s + 2) ** -1.1 for s in range(6)]
+
+
+@query("size_law", "SELECT p_partkey, 3 + " + " + ".join(f"CASE WHEN {_uniform('42', 'p_partkey', '1')} >= {sum(_LAW[: i + 1]) / sum(_LAW)!r} THEN 1 ELSE 0 END" for i in range(5)) + " AS size FROM part")
+def size_law(spark, sf):
+    from graphloom.operators.sample import size_law as law
+    from graphloom.operators.sample import uniform
+
+    return table(spark, sf, "part").select("p_partkey", law(uniform(42, "p_partkey", 1), 3, 8).alias("size"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.models import encoder as N
+from graphloom.models import learn as L
 from graphloom.models import training as G
+from graphloom.operators import canon as C
+from graphloom.operators import sample as P
 from graphloom.operators import search as S
 from graphloom.operators import traverse as T
 from graphloom.plans.views import cop_edges, cop_vertices, table
@@ -24,22 +28,76 @@ for _agent in ("greedy", "beam", "mcts"):
     query(f"{_agent}_mine")(lambda spark, sf, agent=_agent: S.mine(spark, _store(spark, sf), SPEC, agent))
 
 
-def _order_graphs(spark, sf):
-    """Each order's parts as a star around the first one."""
-    o = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set((F.col("l_partkey") % 25).cast("int"))).alias("labels"))
-    n = F.size("labels")
-    rest = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return o.select("id", "labels", F.transform(rest, lambda i: F.lit(0)).alias("src"), rest.alias("dst"), F.transform(rest, lambda i: (i % 4).cast("int")).alias("types"), F.lit(0).alias("anchor"))
+def _ball_graphs(spark, sf):
+    """The neighbourhoods of parts with an id divisible by 20, as arrays with places for ids; the seed is the anchor."""
+    v, e = cop_vertices(spark, sf), cop_edges(spark, sf)
+    ball = T.bfs_ball(e, v.where("id % 20 = 0").select("id"), 2, 30)
+    place = ball.withColumn("at", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id")) - 1)
+    inner = T.neighborhood_edges(e, ball)
+    for end, name in (("src", "x"), ("dst", "y")):
+        inner = inner.join(place.select("seed", F.col("id").alias(end), F.col("at").alias(name)), ["seed", end])
+    arcs = inner.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("e"))  # 30 vertices at most
+    labels = place.join(v, "id").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("at", F.regexp_extract("label", r"(\d+)$", 1).cast("int").alias("l")))).alias("v"))
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    g = labels.join(arcs, "seed", "left").withColumn("e", F.coalesce("e", none))
+    return g.select(F.col("seed").alias("id"), F.col("v.l").alias("labels"), F.col("e.x").alias("src"), F.col("e.y").alias("dst"), F.transform("e", lambda x: (x["x"] + x["y"]) % 4).alias("types"), F.lit(0).alias("anchor"))
 
 
 @query("gnn_embed")
 def gnn_embed(spark, sf):
-    return N.embed(_order_graphs(spark, sf), N.EncoderSpec())
+    """Neighbourhoods of the co-purchase graph by an encoder that is trained on generated pairs."""
+    spec = N.EncoderSpec(conv="gin", layers=3, hidden=32)
+    L.train(L.pair_rows(G.source("syn-balanced", spark, 400), 400), spec, 8)
+    return N.embed(_ball_graphs(spark, sf), spec)
 
 
 @query("rgcn_embed")
 def rgcn_embed(spark, sf):
-    return N.embed(_order_graphs(spark, sf), N.EncoderSpec(conv="rgcn", layers=2))
+    return N.embed(_ball_graphs(spark, sf), N.EncoderSpec(conv="rgcn", layers=2))
+
+
+@query("text_projection")
+def text_projection(spark, sf):
+    return L.Projection.random().frame(N.text_vectors(table(spark, sf, "part").select(F.col("p_brand").alias("label"))))
+
+
+@query("random_tree_sets")
+def random_tree_sets(spark, sf):
+    v, e = cop_vertices(spark, sf), cop_edges(spark, sf)
+    return P.random_trees(e, P.trials(v, 100, 3, 6))
+
+
+@query("sampled_motifs")
+def sampled_motifs(spark, sf):
+    return P.sampled_motifs(cop_vertices(spark, sf), cop_edges(spark, sf), 4, 300)
+
+
+@query("baseline_queries")
+def baseline_queries(spark, sf):
+    sizes = spark.createDataFrame([(k, 3 + k % 4) for k in range(12)], "pattern int, size int")
+    v, e = cop_vertices(spark, sf), cop_edges(spark, sf)
+    made = [P.baseline_queries(v, e, sizes, kind).withColumn("kind", F.lit(kind)) for kind in ("tree", "radial")]
+    return made[0].unionByName(made[1])
+
+
+@query("hub_starts")
+def hub_starts(spark, sf):
+    return P.hub_starts(cop_vertices(spark, sf), cop_edges(spark, sf), 5)
+
+
+@query("mined_classes")
+def mined_classes(spark, sf):
+    """Sampled sets of three and four vertices as labelled graphs, split by exact isomorphism."""
+    v, e = cop_vertices(spark, sf), cop_edges(spark, sf)
+    grown = P.random_trees(e, P.trials(v, 200, 3, 4))
+    place = grown.join(v, "id").withColumn("at", F.row_number().over(Window.partitionBy("trial").orderBy("id")) - 1)
+    arcs = T.neighborhood_edges(e, grown.withColumnRenamed("trial", "seed")).withColumnRenamed("seed", "trial")
+    for end, name in (("src", "x"), ("dst", "y")):
+        arcs = arcs.join(place.select("trial", F.col("id").alias(end), F.col("at").alias(name)), ["trial", end])
+    arcs = arcs.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit("").alias("type")))).alias("arcs"))
+    labels = place.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("v")).select("trial", F.col("v.label").alias("labels"))
+    i = labels.join(arcs, "trial").withColumn("hash", F.md5(F.concat_ws(",", F.array_sort("labels"), F.size("arcs").cast("string"))))
+    return C.classes(i)
 
 
 @query("hash_text_vectors")
@@ -60,3 +118,14 @@ def planted_graphs(spark, sf):
 @query("pair_batches")
 def pair_batches(spark, sf):
     return G.pair_batches(G.synthetic_graphs(spark, 200)).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))
+
+
+@query("imbalanced_pairs")
+def imbalanced_pairs(spark, sf):
+    return G.source("syn-imbalanced", spark, 200).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))
+
+
+@query("graph_pairs")
+def graph_pairs(spark, sf):
+    """The single-graph source over the co-purchase graph."""
+    return G.source("node-balanced", spark, 100, vertices=cop_vertices(spark, sf), edges=cop_edges(spark, sf)).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))

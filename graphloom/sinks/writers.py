@@ -63,3 +63,42 @@ def index_page(names: list[str]) -> str:
 
     items = "\n".join(f'<li><a href="{escape(n)}">{escape(n)}</a></li>' for n in sorted(names))
     return f"<!DOCTYPE html><html><body><ul>\n{items}\n</ul></body></html>"
+
+
+def run_resumable(tasks: DataFrame, work, folder: str, key: str = "task", batches: int = 8) -> DataFrame:
+    """Results of work(tasks) over batches of tasks, kept in folder/done; a run that was stopped goes on with what has no result yet.
+
+    work gives rows with the key and a column error (null where it succeeded). A task with an error goes to folder/bad
+    and is not tried again. Batches are shares of the keys' hashes; each is written whole or not at all.
+    """
+    spark = tasks.sparkSession
+    for k in range(batches):
+        left = tasks.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
+        for name in ("done", "bad"):
+            known = table_if_any(spark, f"{folder}/{name}")
+            left = left if known is None else left.join(known.select(key), key, "left_anti")
+        if left.isEmpty():
+            continue
+        got = work(left).checkpoint(eager=True)  # computed once for both tables
+        got.where("error is null").drop("error").write.mode("append").parquet(f"{folder}/done")
+        got.where("error is not null").select(key, "error").write.mode("append").parquet(f"{folder}/bad")
+    return spark.read.parquet(f"{folder}/done")
+
+
+def table_if_any(spark, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def append_metrics(spark, folder: str, run: str, step: int, values: dict[str, float]) -> None:
+    """Adds one row (run, step, name, value) a metric to a table; read it back and pivot it for curves."""
+    spark.createDataFrame([(run, step, k, float(v)) for k, v in values.items()], "run string, step int, name string, value double").coalesce(1).write.mode("append").parquet(folder)
+
+
+def beam_dump(found: DataFrame, folder: str) -> None:
+    """The sets that a beam kept, with size, score and support, by size: what an analysis of the search reads."""
+    found.write.mode("overwrite").partitionBy("size").parquet(folder)

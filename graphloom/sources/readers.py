@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +61,46 @@ def first_graphs(vertices: DataFrame, n: int) -> DataFrame:
 def from_tables(nodes: DataFrame, relations: DataFrame) -> PropertyGraph:
     """A graph database's nodes(ext_id, labels array, custom_label) and relations(from_id, to_id, type), as a JDBC or other reader gives them: dense ids, the custom label, else the first one, else Node; relations in both directions are one edge."""
     label = F.coalesce("custom_label", F.try_element_at("labels", F.lit(1)), F.lit("Node"))
-    from pyspark.sql import Window
-
-    v = nodes.select("ext_id", label.alias("label")).withColumn("id", (F.row_number().over(Window.orderBy("ext_id")) - 1).cast("long"))
+    v = dense_ids(nodes.select("ext_id", label.alias("label")), "ext_id")
     a, b = v.select(F.col("ext_id").alias("from_id"), F.col("id").alias("x")), v.select(F.col("ext_id").alias("to_id"), F.col("id").alias("y"))
     e = relations.join(a, "from_id").join(b, "to_id").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "type").groupBy("src", "dst").agg(F.min("type").alias("type"))
     return PropertyGraph(v.select("id", "ext_id", "label"), e, False)
 
 
+def dense_ids(df: DataFrame, by: str) -> DataFrame:
+    """df with id: 0, 1, ... in the order of a distinct column. Rows are numbered inside ranges, and a range's first number is the sum of those before it (one number a partition on the driver), so no task has all rows."""
+    from pyspark.sql import Window
+
+    from graphloom.operators.traverse import _cut
+
+    ranged = _cut(df.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min(by).alias("low")).orderBy("low").collect()
+    first, at = {}, 0
+    for r in sizes:
+        first[r["part"]], at = at, at + r["n"]
+    if not first:
+        return ranged.drop("part").withColumn("id", F.lit(0).cast("long"))
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("part"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return ranged.withColumn("id", (start + rank).cast("long")).drop("part")
+
+
+def graph_files(spark: SparkSession, folder: str, glob: str = "*.txt", sep: str = r"\s+") -> DataFrame:
+    """(graph_id, src, dst) of a folder with one edge list a graph; graph_id is the file's stem."""
+    parts = F.split(F.trim("value"), sep)
+    rows = spark.read.text(folder, pathGlobFilter=glob).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("graph_id"), parts[0].try_cast("long").alias("src"), parts[1].try_cast("long").alias("dst"))
+    return rows.where("src is not null and dst is not null")
+
+
+def read_through(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path; where there is none, build() is written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def label_file(spark: SparkSession, path: str) -> DataFrame:
     """Labels, one a line; # begins a comment line."""
     t = F.trim("value")

@@ -88,8 +88,11 @@ def test_synthetic_graphs_are_connected_and_repeatable(spark):
 def test_pairs(spark):
     rows = G.pair_batches(G.synthetic_graphs(spark, 40)).collect()
     for r in rows:
-        a, b = {tuple(e) for e in r.a}, {tuple(e) for e in r.b}
-        assert (b <= a) if r.label else not (b <= a and r.kind == "structure")
+        assert G.contains(r.a_labels, [tuple(e) for e in r.a], r.b_labels, [tuple(e) for e in r.b]) == bool(r.label), r.kind
+    assert {r.kind for r in rows} == {"positive", "label", "hard", "structure"}
+    drawn = G.source("syn-imbalanced", spark, 40).collect()
+    assert {r.label for r in drawn} == {0, 1}
+    assert all(G.contains(r.a_labels, [tuple(e) for e in r.a], r.b_labels, [tuple(e) for e in r.b]) == bool(r.label) for r in drawn)
     assert G.batch_mix(16, 0.5, 0.25) == {"positive": 8, "label": 4, "hard": 1, "structure": 3}
     assert G.mix_weights(["1", "x"], ["a", "b"]) == [0.5, 0.5] and G.mix_weights(["1", "3"], ["a", "b"]) == [0.25, 0.75]
 
