@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import minhash, mixing, pieces, quality, secrets
 from graphloom.llm.common import stage
 
-#: How the mixing stage changes the domains' shares.
-TILT = {"q1t0": 1.0, "q0t0": 1.0, "q1t1": 0.05, "q0t1": 0.05}
+#: How the mixing stage changes the domains' shares: toxic ones to a quarter. Targets below what clean texts hold of toxic domains by doubt alone can only be met by dropping clean texts.
+TILT = {"q1t0": 1.0, "q0t0": 1.0, "q1t1": 0.25, "q0t1": 0.25}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,7 +31,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture asks, which leaves toxic domains a twentieth of their share; copies of one document are equal rows. Null doc_ids are rows like others; empty texts have no tokens and the rate of their probabilities."""
+    """Each row as often as the mixture asks, which leaves toxic domains a quarter of their share; copies of one document are equal rows. Null doc_ids are rows like others; empty texts have no tokens and the rate of their probabilities."""
     return mixing.mix_rows(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), tilt=TILT)
 
 
