@@ -132,7 +132,7 @@ def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = T
     gradient on its dual, which has one price a domain: a document's rate is 1 - p . price, projected. A plain step
     crawls once many rates are at a bound, so a step is scaled by G over the documents that are at none, and halved until the dual rises.
     Each round is one aggregate to a few sums over an unchanging table; no round writes anything. It ends where the
-    totals differ from T by less than `tolerance` of all tokens, or, out of reach, where the dual rises no more.
+    totals differ from T by less than `tolerance` of all tokens, or, out of reach, where five rounds bring them no nearer.
     """
     k = len(names)
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{d}") for d in range(k)]
@@ -167,9 +167,12 @@ def fit_rates(member: DataFrame, names: list[str], targets: dict[str, float] = T
         return float(row["cost"] or 0) - float(x @ want) - float(x @ soft @ x) / 2, miss, square(row, "h")
 
     value, miss, gram = at(price)
+    least, idle = np.inf, 0  # out of reach, the totals come no nearer
     for _ in range(rounds):
         rise = miss - soft @ price
-        if np.abs(rise).max() <= tolerance * total:
+        idle = 0 if np.abs(miss).max() < 0.999 * least else idle + 1
+        least = min(least, float(np.abs(miss).max()))
+        if np.abs(rise).max() <= tolerance * total or idle >= 5:
             break
         step, length = np.linalg.solve(gram + soft + 1e-9 * total * np.eye(k), rise), 1.0
         while True:
