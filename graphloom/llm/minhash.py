@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.collisions import forest
-from graphloom.llm.common import components, smallest, stage
+from graphloom.llm.common import components, drop_stage, smallest, stage
 from graphloom.llm.quality import _SPACE, chunks
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Document frequencies are counted over so many buckets of shingles: a bound for any corpus.
-DF_BUCKETS = 1 << 16
-#: How much a rare shingle weighs above a common one.
+#: Inverse document frequency ends at this share of the documents: rarer shingles weigh alike, so the table of others has at most 1 / DF_FLOOR rows for each distinct shingle of a mean document, however many documents there are.
+DF_FLOOR = 0.001
+#: Shingles that a task sorts and counts at once.
+COUNTED = 1 << 21
+#: How much a rare shingle weighs above one of every document.
 IDF_GAIN = 0.25
 #: Of SAMPLES equal samples, pairs with fewer are not compared: at similarity 0.8 one pair in some thousands.
 LEAST_EQUAL = SAMPLES // 2
@@ -65,8 +69,28 @@ def shingles(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (key >> _U(64 - DOC_BITS)).astype(np.int64), key & _LOW, count
 
 
-def weights(shingle: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return count * idf[(shingle % _U(DF_BUCKETS)).astype(np.int64)]
+class Rarity(NamedTuple):
+    """Inverse document frequency weights: those of common shingles (sorted), and the one of all others."""
+
+    common: np.ndarray
+    weight: np.ndarray
+    rest: float
+
+    @classmethod
+    def of(cls, common: np.ndarray, df: np.ndarray, n_docs: int) -> Rarity:
+        """1 + IDF_GAIN ln(n / df) / ln(1 / DF_FLOOR), with df at least DF_FLOOR n and 1."""
+        least = max(1.0, DF_FLOOR * n_docs)
+        weigh = lambda x: 1 + IDF_GAIN * np.log(max(n_docs, 1) / np.clip(x, least, max(n_docs, 1))) / -np.log(DF_FLOOR)
+        order = np.argsort(common)
+        return cls(common[order], weigh(df[order].astype(np.float64)), float(weigh(least)))
+
+
+def weights(shingle: np.ndarray, count: np.ndarray, idf: Rarity) -> np.ndarray:
+    """Counts times inverse document frequencies."""
+    if not len(idf.common):
+        return count * idf.rest
+    at = np.minimum(np.searchsorted(idf.common, shingle), len(idf.common) - 1)
+    return count * np.where(idf.common[at] == shingle, idf.weight[at], idf.rest)
 
 
 def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -104,27 +128,42 @@ def _lowered(batch: pa.RecordBatch):
             yield part.slice(a, b - a), raw, first
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency weights by bucket: 1 + IDF_GAIN ln((N+1)/(df+1)) / ln(N+1), over all documents; each task sends its sums, the driver gets DF_BUCKETS rows."""
+def document_frequencies(texts: DataFrame) -> Rarity:
+    """Weights of shingles by the exact number of rows that have them, over all rows of texts (doc_id, text).
 
-    def run(batches):
-        total = np.zeros(DF_BUCKETS + 1, np.int64)
-        for batch in batches:
-            total[-1] += batch.num_rows
-            for _, raw, first in _lowered(batch):
-                _, s, _ = shingles(raw, first)
-                total[:-1] += np.bincount((s % _U(DF_BUCKETS)).astype(np.int64), minlength=DF_BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+    Tasks count their own shingles first, so a shingle of every document is a few rows a task. Only shingles in more than
+    DF_FLOOR of the rows come to the driver: fewer than 1 / DF_FLOOR for each distinct shingle of a mean document.
+    """
+    n_docs = texts.count()
 
-    rows = texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(DF_BUCKETS + 1)
-    df[rows["bucket"].to_numpy(np.int64)] = rows["n"]
-    n = max(df[-1], 1)
-    return 1 + IDF_GAIN * np.clip(np.log((n + 1) / (df[:-1] + 1)) / np.log(n + 1), 0, 1)
+    def run(batches):
+        held, n = [], 0
 
+        def flush():
+            found, many = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for at in range(0, len(found), 1 << 18):
+                z = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(found[z].view(np.int64)), pa.array(many[z])], names=["shingle", "n"])
 
-def similarity(a: str | None, b: str | None, idf: np.ndarray) -> float:
+        for batch in batches:
+            for _, raw, first in _lowered(batch):
+                held.append(shingles(raw, first)[1])
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield from flush()
+                    n = 0
+        if held:
+            yield from flush()
+
+    counted = texts.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = stage(counted.where(F.col("n") > max(1.0, DF_FLOOR * n_docs)))
+    rows = common.toPandas()
+    drop_stage(common)
+    return Rarity.of(rows["shingle"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64), n_docs)
+
+
+def similarity(a: str | None, b: str | None, idf: Rarity) -> float:
     """Weighted Jaccard similarity of two texts; 1 for two texts without words."""
     both = [(t or "").lower().encode("utf-8", "surrogatepass") for t in (a, b)]
     raw = np.frombuffer(both[0] + b"\n" + both[1] + b"\n", np.uint8)
@@ -187,7 +226,7 @@ def _ties(members: DataFrame, rounds: int = 2) -> DataFrame:
     return out.unionByName(few.select(F.col("doc_id").alias("a"), "b")).unionByName(many).distinct()
 
 
-def links_among(ids: np.ndarray, texts: list[str | None], idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def links_among(ids: np.ndarray, texts: list[str | None], idf: Rarity, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of texts with a weighted Jaccard similarity of at least `least`, by matrix products.
 
     A shingle that a text has n times is n features, so that shared features sum to the minima of counts; only features
@@ -234,7 +273,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Null and empty texts are equal to each other and to nothing else; texts of fewer than five words are one shingle of
     all their words; rows with a null doc_id get a null class unless an equal text has an id; repeated rows are one
-    document; other columns are ignored.
+    document; other columns are ignored. A shingle's weight follows from the exact share of rows that have it, repeated
+    rows and copies included, so it does not depend on the size of the corpus.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     idf = document_frequencies(texts)

@@ -237,11 +237,22 @@ def test_mixing_meets_targets(spark):
     assert none.count() == 0
 
 
-def brute_classes(texts, least=0.8):
-    sh = {}
-    for i, t in texts.items():
-        w = t.lower().split()
-        sh[i] = Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else None
+def word_shingles(t):
+    w = (t or "").lower().split()
+    return Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute_classes(texts, rows=None, least=0.8):
+    """Classes by weighted Jaccard similarity of all pairs; shingles weigh by the number of rows that have them."""
+    rows = list(texts.values()) if rows is None else rows
+    df, n = Counter(x for t in rows for x in set(word_shingles(t))), len(rows)
+    rare = {x: 1 + minhash.IDF_GAIN * math.log(n / max(k, 1, minhash.DF_FLOOR * n)) / math.log(1 / minhash.DF_FLOOR) for x, k in df.items()}
+    sh = {i: word_shingles(t) for i, t in texts.items()}
+
+    def alike(x, y):
+        shared = sum(k * rare[s] for s, k in (x & y).items())
+        return x and y and shared >= least * sum(k * rare[s] for s, k in (x | y).items()) - 1e-9
+
     root = {i: i for i in texts}
 
     def find(x):
@@ -251,7 +262,7 @@ def brute_classes(texts, least=0.8):
 
     for a in texts:
         for b in texts:
-            if a < b and (texts[a] == texts[b] or sh[a] and sh[b] and sum((sh[a] & sh[b]).values()) >= least * sum((sh[a] | sh[b]).values())):
+            if a < b and (texts[a] == texts[b] or alike(sh[a], sh[b])):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in texts}
@@ -273,7 +284,7 @@ def test_minhash(spark):
     got = minhash.near_duplicates(documents(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {x.doc_id: x.class_id for x in got if x.doc_id is not None}
-    want = brute_classes(texts)
+    want = brute_classes(texts, [t for _, t in rows])
     assert {i: by[i] for i in want} == want
     assert by[300] == by[301] == 300 and by[302] == by[303] == 302
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
@@ -303,6 +314,30 @@ def test_blocks_of_a_large_cluster_agree(spark, monkeypatch):
     assert got == brute_classes(dict(rows))
 
 
+def test_weights_are_exact_inverse_document_frequencies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COUNTED", 50)
+    monkeypatch.setattr(minhash, "DF_FLOOR", 0.05)
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(40))) + (" one two three four five six" if i % 3 == 0 else "")) for i in range(120)] + [(None, "one two three four five"), (7, None), (7, "a")]
+    got = minhash.document_frequencies(documents(spark, rows).select("doc_id", "text").repartition(5))
+    df = Counter(x for _, t in rows for x in set(word_shingles(t)))
+    assert len(got.common) == sum(k > 0.05 * len(rows) for k in df.values())
+    for x, k in df.items():
+        raw = np.frombuffer((" ".join(x) + "\n").encode(), np.uint8)
+        _, s, _ = minhash.shingles(raw, np.array([0]))
+        want = 1 + minhash.IDF_GAIN * math.log(len(rows) / max(k, 0.05 * len(rows))) / math.log(20)
+        assert abs(minhash.weights(s, np.ones(1), got)[0] - want) < 1e-9
+    empty = minhash.document_frequencies(documents(spark, []).select("doc_id", "text"))
+    assert not len(empty.common) and empty.rest == 1
+
+
+def test_weights_do_not_depend_on_the_size_of_the_corpus():
+    shares = np.array([0.5, 0.01, 0.0011])
+    for n in (10_000, 1_000_000, 10**9):
+        w = minhash.Rarity.of(np.arange(3, dtype=np.uint64), (shares * n).astype(np.int64), n)
+        assert np.allclose(w.weight, 1 + minhash.IDF_GAIN * np.log(1 / shares) / np.log(1000), atol=1e-3) and abs(w.rest - 1 - minhash.IDF_GAIN) < 1e-9
+
+
 def test_consistent_samples_estimate_similarity():
     r = random.Random(1)
     a = [f"w{i}" for i in range(400)]
