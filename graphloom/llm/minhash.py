@@ -21,6 +21,8 @@ SAMPLES = BANDS * ROWS
 DF_FLOOR = 0.001
 #: Shingles that a task sorts and counts at once.
 COUNTED = 1 << 21
+#: Bytes of text to one range of shingles, on average: one task adds up what all others counted in a range.
+RANGE_BYTES = 8_000_000
 #: How much a rare shingle weighs above one of every document.
 IDF_GAIN = 0.25
 #: Of SAMPLES equal samples, pairs with fewer are not compared: at similarity 0.8 one pair in some thousands.
@@ -131,20 +133,28 @@ def _lowered(batch: pa.RecordBatch):
 def document_frequencies(texts: DataFrame) -> Rarity:
     """Weights of shingles by the exact number of rows that have them, over all rows of texts (doc_id, text).
 
-    Tasks count their own shingles first, so a shingle of every document is a few rows a task. Only shingles in more than
-    DF_FLOOR of the rows come to the driver: fewer than 1 / DF_FLOOR for each distinct shingle of a mean document.
+    Tasks count their own shingles first, so a shingle of every document is a few entries a task, and send them packed,
+    by ranges of shingles; a range's number of entries is bounded for any corpus. Only shingles in more than DF_FLOOR of the rows come
+    to the driver: fewer than 1 / DF_FLOOR for each distinct shingle of a mean document.
     """
-    n_docs = texts.count()
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_docs, ranges = size.n, max(1, -(-(size.bytes or 0) // RANGE_BYTES))
+    least = max(1.0, DF_FLOOR * n_docs)
+    bounds = np.arange(1, ranges, dtype=_U) * ((_LOW + _U(1)) // _U(ranges))
 
-    def run(batches):
+    def count(batches):
         held, n = [], 0
 
         def flush():
             found, many = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            for at in range(0, len(found), 1 << 18):
-                z = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(found[z].view(np.int64)), pa.array(many[z])], names=["shingle", "n"])
+            for at in range(0, len(found), COUNTED):
+                s, m = found[at : at + COUNTED], many[at : at + COUNTED].astype(np.uint32)
+                edges = np.concatenate(([0], np.searchsorted(s, bounds), [len(s)]))
+                some = np.flatnonzero(np.diff(edges))
+                cuts = np.append(edges[some], len(s))
+                cells = (pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (s, m))
+                yield pa.RecordBatch.from_arrays([pa.array(some), *cells], names=["range", "found", "many"])
 
         for batch in batches:
             for _, raw, first in _lowered(batch):
@@ -156,8 +166,16 @@ def document_frequencies(texts: DataFrame) -> Rarity:
         if held:
             yield from flush()
 
-    counted = texts.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    common = stage(counted.where(F.col("n") > max(1.0, DF_FLOOR * n_docs)))
+    def add(table: pa.Table) -> pa.Table:
+        s, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]]) for name, kind in (("found", _U), ("many", np.uint32)))
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.add.reduceat(m[order], heads, dtype=np.int64)
+        keep = n > least
+        return pa.table({"shingle": pa.array(s[heads[keep]].view(np.int64)), "n": pa.array(n[keep])})
+
+    common = stage(texts.mapInArrow(count, "range bigint, found binary, many binary").groupBy("range").applyInArrow(add, "shingle bigint, n bigint"))
     rows = common.toPandas()
     drop_stage(common)
     return Rarity.of(rows["shingle"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64), n_docs)

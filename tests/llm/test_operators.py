@@ -316,6 +316,7 @@ def test_blocks_of_a_large_cluster_agree(spark, monkeypatch):
 
 def test_weights_are_exact_inverse_document_frequencies(spark, monkeypatch):
     monkeypatch.setattr(minhash, "COUNTED", 50)
+    monkeypatch.setattr(minhash, "RANGE_BYTES", 300)
     monkeypatch.setattr(minhash, "DF_FLOOR", 0.05)
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(40))) + (" one two three four five six" if i % 3 == 0 else "")) for i in range(120)] + [(None, "one two three four five"), (7, None), (7, "a")]
