@@ -41,12 +41,16 @@ def mean_path_length(edges: DataFrame, seeds: DataFrame, cutoff: int) -> DataFra
 
 
 def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: n, m, components, largest and mean degree, directions ignored."""
+    """One row: n, m, largest and mean degree, directions ignored. How many components there are is count_components(): it takes rounds of its own."""
     d = degrees(edges)
-    parts = components(vertices, edges).agg(F.countDistinct("component").alias("n_components"))
     deg = d.agg(F.max("degree").alias("max_degree"), (F.sum("degree") / 2).cast("long").alias("m"))
     n = vertices.agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(deg)).crossJoin(F.broadcast(parts)).select("n", "m", "n_components", "max_degree", (2 * F.col("m") / F.col("n")).alias("avg_degree"))
+    return n.crossJoin(F.broadcast(deg)).select("n", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("max_degree", F.lit(0)).alias("max_degree"), (2 * F.coalesce("m", F.lit(0)) / F.col("n")).alias("avg_degree"))
+
+
+def count_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """n_components, vertices without neighbours included."""
+    return components(vertices, edges).agg(F.countDistinct("component").alias("n_components"))
 
 
 def graph_stats_by(vertices: DataFrame, edges: DataFrame, by: str = "graph_id") -> DataFrame:

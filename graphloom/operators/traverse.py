@@ -24,6 +24,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def khop(edges: DataFrame, seeds: DataFrame, cutoff: int, both_ways: bool = True) -> DataFrame:
     """(seed, id, depth): shortest distances from each seed (column id) up to cutoff. A round joins the newest layer with the adjacency and drops what is known."""
     adj = adjacency(edges) if both_ways else edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("nbr")).distinct()
+    adj = _cut(adj) if cutoff > 1 else adj
     known = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
     layer = known
     for depth in range(1, cutoff + 1):
@@ -113,15 +114,15 @@ def largest_component(parts: DataFrame) -> DataFrame:
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(id, rank) after a fixed number of rounds; rank of vertices without out-edges is spread over all."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
-    out = e.groupBy("src").agg(F.count("*").alias("k"))
-    share = _cut(e.join(out, "src"))
+    share = _cut(e.join(e.groupBy("src").agg(F.count("*").alias("k")), "src"))
+    out = _cut(share.select("src").distinct())
     n = vertices.count()
     rank = vertices.select("id", F.lit(1.0 / n).alias("rank"))
-    for i in range(rounds):
+    for _ in range(rounds):
         sent = share.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
         lost = rank.join(out.select(F.col("src").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = vertices.select("id").join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        rank = _cut(rank) if i % 3 == 2 else rank
+        # one row is broadcast; a round reads its predecessor twice, so each is cut
+        rank = _cut(vertices.select("id").join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
     return rank
 
 
@@ -134,21 +135,49 @@ def oriented(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _cut(at.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"))), deg
 
 
-def _triangles(arcs: DataFrame) -> DataFrame:
-    wedges = arcs.join(arcs.select("u", F.col("v").alias("w")), "u").where("v < w")
-    closing = arcs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"))
-    return wedges.join(closing, ["v", "w"])
+def closed(arcs: DataFrame) -> DataFrame:
+    """(u, v, thirds array<long>) of each arc of oriented() that closes triangles: the vertices that u and v both lead to.
+
+    A vertex leads to at most the root of twice the edges, so its list is short even at a hub. Lists travel along arcs, one row an
+    arc, and are intersected in place: no row is a wedge.
+    """
+    lists = _cut(arcs.groupBy("u").agg(F.collect_list("v").alias("to")))
+    sent = lists.where(F.size("to") > 1).select("u", F.explode("to").alias("v"), "to")
+    met = sent.join(lists.select(F.col("u").alias("v"), F.col("to").alias("on")), "v")
+    return met.select("u", "v", F.array_intersect("to", "on").alias("thirds")).where(F.size("thirds") > 0)
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c) of an undirected graph, a < b < c."""
     low, high = F.least("u", "v", "w"), F.greatest("u", "v", "w")
-    return _triangles(oriented(edges)[0]).select(low.alias("a"), (F.col("u") + F.col("v") + F.col("w") - low - high).alias("b"), high.alias("c"))
+    return closed(oriented(edges)[0]).select("u", "v", F.explode("thirds").alias("w")).select(low.alias("a"), (F.col("u") + F.col("v") + F.col("w") - low - high).alias("b"), high.alias("c"))
+
+
+def triangle_total(edges: DataFrame) -> DataFrame:
+    """n: how many triangles, without a row for each."""
+    return closed(oriented(edges)[0]).agg(F.coalesce(F.sum(F.size("thirds").cast("long")), F.lit(0)).alias("n"))
+
+
+def corner_counts(met: DataFrame) -> DataFrame:
+    """(id, triangles) of rows of closed()."""
+    size = F.size("thirds").cast("long")
+    ends = met.select(F.explode(F.array("u", "v")).alias("id"), size.alias("k"))
+    return ends.unionAll(met.select(F.explode("thirds").alias("id"), F.lit(1).cast("long").alias("k"))).groupBy("id").agg(F.sum("k").alias("triangles"))
+
+
+def edge_support(edges: DataFrame) -> DataFrame:
+    """(src, dst, common) with src < dst of each edge in a triangle: how many neighbours its ends share."""
+    met = closed(oriented(edges)[0])
+    pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    own = met.select(*pair("u", "v"), F.size("thirds").cast("long").alias("k"))
+    third = met.select("u", "v", F.explode("thirds").alias("w"))
+    one = F.lit(1).cast("long").alias("k")
+    return own.unionAll(third.select(*pair("u", "w"), one)).unionAll(third.select(*pair("v", "w"), one)).groupBy("src", "dst").agg(F.sum("k").alias("common"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """(id, degree, triangles, clustering) of vertices with a neighbour."""
     arcs, d = oriented(edges)
-    t = _triangles(arcs).select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
+    t = corner_counts(_cut(closed(arcs)))
     n = F.coalesce("triangles", F.lit(0))
     return d.join(t, "id", "left").select("id", "degree", n.alias("triangles"), F.when(F.col("degree") > 1, 2.0 * n / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))

@@ -149,7 +149,7 @@ _TRI = "tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM cop x JOIN cop y
 
 @query("triangle_count", f"WITH {SQL_COP}, {_TRI} SELECT count(*) AS n FROM tri")
 def triangle_count(spark, sf):
-    return T.triangles(cop_edges(spark, sf)).agg(F.count("*").alias("n"))
+    return T.triangle_total(cop_edges(spark, sf))
 
 
 @query("clustering_coeff", f"WITH {SQL_COP}, {SQL_ADJ}, {_TRI}, t AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY id), d AS (SELECT id, count(*) AS degree FROM adj GROUP BY id) SELECT d.id, degree, coalesce(t, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t USING (id)")
@@ -170,10 +170,40 @@ def esu_size3(spark, sf):
     return E.motif_counts(cop_edges(spark, sf), 3)
 
 
-@query("esu_size4")
+#: Shares of derivations that the sampled enumeration keeps at its three levels.
+SHARES = (0.02, 0.02, 0.05)
+
+
+def _esu_sql(edges: str, shares: tuple[float, ...]) -> str:
+    """The sampled enumeration of sets of len(shares) + 1 vertices."""
+
+    def drawn(nodes: str, nbr: str, share: float) -> str:
+        return f"('0x' || substr(md5('42:' || array_to_string({nodes}, ',') || ':' || {nbr}), 1, 8))::BIGINT < {int(share * 2**32)}"
+
+    out = [f"WITH {edges}, {SQL_ADJ}, s2 AS (SELECT [id, nbr] AS nodes, [0, 1] AS masks FROM adj WHERE id < nbr AND {drawn('[id]', 'nbr', shares[0])})"]
+    for k, share in enumerate(shares[1:], 3):
+        out.append(f"c{k} AS (SELECT nodes, masks, nbr, bit_or(1 << (i - 1)::INT) AS mask FROM (SELECT nodes, masks, unnest(range(1, {k})) AS i FROM s{k - 1}) JOIN adj ON adj.id = nodes[i] WHERE nbr > nodes[1] AND NOT list_contains(nodes, nbr) AND {drawn('nodes', 'nbr', share)} GROUP BY ALL)")
+        out.append(f"s{k} AS (SELECT list_append(nodes, nbr) AS nodes, list_append(masks, mask) AS masks FROM c{k} WHERE (mask & -mask, nbr) > (masks[-1] & -masks[-1], nodes[-1]))")
+    return ",\n".join(out)
+
+
+_DEGREES = "array_to_string(list_sort(list_transform(range(1, 5), lambda i: bit_count(masks[i]::INT) + len(list_filter(masks[i + 1:], lambda m: (m >> (i - 1)::INT) & 1 = 1)))), ',')"
+
+
+@query("esu_size4", f"{_esu_sql(SQL_COP, SHARES)} SELECT {_DEGREES} AS degrees, list_sum(list_transform(masks, lambda m: bit_count(m::INT)))::BIGINT AS m, count(*) AS n, count(*) / {SHARES[0] * SHARES[1] * SHARES[2]!r}::DOUBLE AS estimate FROM s4 GROUP BY ALL")
 def esu_size4(spark, sf):
-    """The sampled enumeration: a hundredth of the sets of each level, by hash. All sets of four of a graph with hubs are more than any cluster lists."""
-    return E.motif_counts(cop_edges(spark, sf), 4, 0.01)
+    """The sampled enumeration: every set of four has the same chance, whatever its shape. All sets of four of a graph with hubs are more than any cluster lists."""
+    return E.motif_counts(cop_edges(spark, sf), 4, SHARES)
+
+
+_TREE = "t AS (SELECT n_nationkey AS a, 1000000 + n_regionkey AS b FROM nation UNION ALL SELECT 2000000 + s_suppkey, s_nationkey FROM supplier), d AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t) GROUP BY id)"
+
+
+@query("esu_size4_tree", f"WITH {_TREE} SELECT '1,1,1,3' AS degrees, 3::BIGINT AS m, (SELECT sum(k * (k - 1) * (k - 2) / 6) FROM d)::BIGINT AS n UNION ALL SELECT '1,1,2,2', 3, (SELECT sum((x.k - 1) * (y.k - 1)) FROM t JOIN d x ON x.id = a JOIN d y ON y.id = b)::BIGINT")
+def esu_size4_tree(spark, sf):
+    """All sets of four of the tree of regions, nations and suppliers."""
+    e = star_edges(spark, sf).where(F.col("type").isin("in_region", "in_nation"))
+    return E.motif_counts(e.where(F.col("src") < 3 * TAG).unionAll(e.where(F.col("src") >= 4 * TAG)), 4)
 
 
 @query("orbit_counts", f"WITH {SQL_COP}, {SQL_ADJ}, {_TRI}, t AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY id), d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), w AS (SELECT adj.id, sum(d.k - 1) AS walks FROM adj JOIN d ON d.id = adj.nbr GROUP BY adj.id) SELECT d.id, k AS edge, CAST(walks - 2 * coalesce(t, 0) AS BIGINT) AS wedge_end, CAST(k * (k - 1) / 2 - coalesce(t, 0) AS BIGINT) AS wedge_mid, coalesce(t, 0) AS triangle FROM d JOIN w USING (id) LEFT JOIN t USING (id)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import canon as C
 from graphloom.operators import features as X
 from graphloom.operators import match as M
+from graphloom.operators.count import counted
 from graphloom.plans.views import SQL_ADJ, SQL_COP, SQL_SE, SQL_SV, TAG, cop_edges, cop_vertices, star_edges, star_vertices, table
 from graphloom.queries.registry import query
 
@@ -40,7 +41,7 @@ def match_triangle(spark, sf):
 @query("match_induced", f"WITH {SQL_COP}, {SQL_ADJ} SELECT x.id AS m, count(*) AS n FROM adj x JOIN adj y ON x.id = y.id AND x.nbr <> y.nbr WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.id = x.nbr AND z.nbr = y.nbr) GROUP BY x.id")
 def match_induced(spark, sf):
     """Induced wedges by their middle vertex."""
-    return M.match(WEDGE.induced(), cop_vertices(spark, sf), cop_edges(spark, sf)).groupBy("m").agg(F.count("*").alias("n"))
+    return counted(WEDGE.induced(), cop_vertices(spark, sf), cop_edges(spark, sf), by="m").select(F.col("id").alias("m"), "n")
 
 
 @query("match_capped", f"WITH {SQL_COP}, f AS (SELECT count(*) AS f FROM cop x JOIN cop y ON x.dst = y.src JOIN cop z ON z.src = x.src AND z.dst = y.dst) SELECT least(f * 6, 10000) AS n FROM f")
