@@ -7,15 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.canonical import canonical_code
+
 STRUCTURAL, UNKNOWN = "STRUCTURAL", "UNKNOWN"
 #: Values that stand for no known label.
 UNKNOWN_WORDS = ("unk", "unknown", "none", "null", "nan")
 #: Key precedence of the resolvers, fixed by the data model.
 EDGE_TYPE_KEYS = ("type_str", "type", "relation", "edge_type", "label", "input_label")
-CACHE_NODE_KEYS = ("semantic_label", "label", "kind", "group", "type")
-CACHE_EDGE_KEYS = ("type_str", "edge_type", "relation", "label", "input_label", "type")
 VIEW_NODE_KEYS = ("type", "label", "node_type", "category", "kind", "class")
-VIEW_EDGE_KEYS = ("type", "label", "edge_label", "relation", "relationship", "edge_type", "predicate", "category", "kind", "name")
 STABLE_MODULUS = 2147483647
 
 
@@ -166,28 +165,8 @@ def any_less(a: Column, b: Column) -> Column:
     return F.exists(F.zip_with(a, b, lambda x, y: x < y), lambda z: z)
 
 
-def canonical_code(nodes: int, arcs: list[tuple[int, int, str]], labels: list[str]) -> str:
-    """The least text over all label-preserving orders of a small directed, labelled graph's nodes."""
-    from itertools import permutations
-
-    order = sorted(range(nodes), key=lambda i: labels[i])
-    groups: list[list[int]] = []
-    for i in order:
-        if groups and labels[groups[-1][0]] == labels[i]:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    best = None
-    choices = reduce(lambda done, g: [d + list(p) for d in done for p in permutations(g)], groups, [[]])
-    for perm in choices:
-        place = {v: k for k, v in enumerate(perm)}
-        code = ";".join(sorted(f"{place[a]}>{place[b]}:{t}" for a, b, t in arcs))
-        best = code if best is None or code < best else best
-    return ",".join(labels[i] for i in order) + "|" + (best or "")
-
-
 def register(spark: SparkSession) -> None:
-    """SQL functions order_violation, stable_id and safe_label; canon_code is an Arrow function, for graphs of up to eight nodes."""
+    """SQL functions order_violation, stable_id and safe_label; canon_code is an Arrow function, for patterns of some twenty nodes."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION order_violation(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> pow(greatest(y - x, 0D), 2D)), 0D, (s, x) -> s + x)")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION stable_id(t STRING) RETURNS BIGINT RETURN pmod(CAST(conv(substr(md5(t), 1, 15), 16, 10) AS BIGINT), {STABLE_MODULUS})")
     words = ", ".join(f"'{w}'" for w in UNKNOWN_WORDS)

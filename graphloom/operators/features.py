@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import bin_of, label_bucket, one_hot
 from graphloom.graph import adjacency, degrees
-from graphloom.operators.traverse import clustering, components, khop, pagerank
+from graphloom.operators.count import Elimination, least_form, signed
+from graphloom.operators.enumerate import class_codes
+from graphloom.operators.match import Pattern
+from graphloom.operators.traverse import _cut, clustering, components, khop, pagerank
 
 #: Features by name: a function of (vertices, edges) to a frame (id, <name>). register() adds to it.
 REGISTRY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
@@ -97,43 +101,137 @@ def identity_powers(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     return rows.mapInPandas(run, "id bigint, powers array<double>")
 
 
-def betweenness(graphs: DataFrame) -> DataFrame:
-    """(graph_id, id, betweenness) of small undirected graphs (graph_id, src, dst), each in one numpy task."""
-
-    def one(pdf):
-        import pandas as pd
-
-        nodes = sorted({*pdf.src, *pdf.dst})
-        nbr = {v: set() for v in nodes}
-        for a, b in zip(pdf.src, pdf.dst, strict=True):
-            if a != b:
-                nbr[a].add(b)
-                nbr[b].add(a)
-        score = dict.fromkeys(nodes, 0.0)
-        for s in nodes:
-            dist, paths, layers = {s: 0}, {s: 1.0}, [[s]]
-            while layers[-1]:
-                nxt: dict = {}
-                for v in layers[-1]:
-                    for w in nbr[v]:
-                        if w not in dist or dist[w] == len(layers):
-                            dist[w] = len(layers)
-                            nxt[w] = nxt.get(w, 0.0) + paths[v]
-                paths |= nxt
-                layers.append(list(nxt))
-            need = dict.fromkeys(dist, 0.0)
-            for layer in reversed(layers):
-                for w in layer:
-                    for v in nbr[w]:
-                        if dist.get(v, -1) == dist[w] - 1:
-                            need[v] += paths[v] / paths[w] * (1 + need[w])
-                    if w != s:
-                        score[w] += need[w]
-        n = len(nodes)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "id": nodes, "betweenness": [score[v] * scale for v in nodes]})
-
-    return graphs.groupBy("graph_id").applyInPandas(one, "graph_id bigint, id bigint, betweenness double")
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, by: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(*by, id, betweenness) of undirected graphs, edges (*by, src, dst): the share of shortest paths between other vertices that pass through each.
+
+    sources (*by, id): the vertices that paths start from; all by default, else an estimate, scaled by how many of a graph's vertices they are. Layer by layer, a
+    join of the newest layer with the adjacency adds up path counts; backward, each layer passes on what depends on it. Rows are pairs of a source and a reached vertex, grouped by both: no graph is in
+    one task. Vertices without edges have no row; a loop is no edge.
+    """
+    by = list(by)
+    e = edges.where("src <> dst").select(*by, F.col("src").alias("id"), F.col("dst").alias("nbr"))
+    adj = _cut(e.unionByName(e.select(*by, F.col("nbr").alias("id"), F.col("id").alias("nbr"))).distinct())
+    vertices = _cut(adj.select(*by, "id").distinct())
+    starts = vertices if sources is None else sources.select(*by, "id").distinct().join(vertices, [*by, "id"], "left_semi")
+    key = [*by, "source", "id"]
+    layers = [_cut(starts.select(*by, F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))]
+    while True:
+        found = layers[-1].join(adj, [*by, "id"]).groupBy(*by, "source", F.col("nbr").alias("id")).agg(F.sum("paths").alias("paths"))
+        for known in layers[-2:]:  # a neighbour of a layer is in it or in one of the two next to it
+            found = found.join(known.select(*key), key, "left_anti")
+        found = _cut(found)
+        if found.isEmpty():
+            break
+        layers.append(found)
+    need = [layers[-1].withColumn("need", F.lit(0.0))]
+    for layer in reversed(layers[1:-1]):
+        owed = need[-1].join(adj, [*by, "id"]).groupBy(*by, "source", F.col("nbr").alias("id")).agg(F.sum((1 + F.col("need")) / F.col("paths")).alias("owed"))
+        need.append(_cut(layer.join(owed, key, "left").select(*key, "paths", (F.col("paths") * F.coalesce("owed", F.lit(0.0))).alias("need"))))
+    parts = reduce(DataFrame.unionByName, need if len(layers) > 1 else [need[0].limit(0)])
+    score = parts.groupBy(*by, "id").agg(F.sum("need").alias("score"))
+    sizes = vertices.groupBy(*by).agg(F.count("*").alias("n")) if by else vertices.agg(F.count("*").alias("n"))
+    drawn = starts.groupBy(*by).agg(F.count("*").alias("k")) if by else starts.agg(F.count("*").alias("k"))
+    scale = sizes.join(drawn, by) if by else sizes.crossJoin(F.broadcast(drawn))  # one row a graph
+    out = vertices.join(score, [*by, "id"], "left")
+    out = out.join(scale, by) if by else out.crossJoin(F.broadcast(scale))
+    pairs = F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(1)
+    return out.select(*by, "id", (F.coalesce("score", F.lit(0.0)) * F.col("n") / F.col("k") / pairs).alias("betweenness"))
+
+
+def reach(vertices: DataFrame, edges: DataFrame, most: int = 32, lg_k: int = 12) -> DataFrame:
+    """(id, hop, reached): how many vertices, itself included, each vertex has within so many hops, directions ignored.
+
+    A vertex holds a sketch of the vertices within reach, of at most some 2 ** lg_k bytes; a hop merges its neighbours' sketches into it, pre-aggregated, so a
+    round is one shuffle of sketches whatever the sets' sizes. Estimates have a relative deviation of about 0.8 / sqrt(2 ** lg_k), 1.2 % by default, and are
+    exact up to some hundreds. Ends when a hop adds nothing anywhere, or after `most`: the last hop is the diameter of the largest component, as the sketches tell it.
+    """
+    adj = _cut(adjacency(edges))
+    state = _cut(vertices.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(lg_k)).alias("sketch")))
+    told = lambda df, hop: df.select("id", F.lit(hop).alias("hop"), F.hll_sketch_estimate("sketch").alias("reached"))
+    out, total = [told(state, 0)], None
+    for hop in range(1, most + 1):
+        sent = adj.join(state.select(F.col("id").alias("nbr"), "sketch"), "nbr").select("id", "sketch")
+        state = _cut(sent.unionByName(state).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
+        now = told(state, hop).agg(F.sum("reached")).first()[0]
+        if now == total:
+            break
+        out.append(told(state, hop))
+        total = now
+    return reduce(DataFrame.unionByName, out)
+
+
+def mean_distances(reached: DataFrame) -> DataFrame:
+    """(id, others, mean_path) of rows of reach(): how many other vertices a vertex reaches and its mean distance to them; null where there are none."""
+    last, hops = F.max("reached"), F.max("hop")
+    t = reached.groupBy("id").agg(last.alias("all"), hops.alias("hops"), F.sum("reached").alias("within"))
+    others = F.col("all") - 1
+    # a vertex at distance d is missing from the first d of the counts
+    return t.select("id", others.alias("others"), F.try_divide(F.col("all") * (F.col("hops") + 1) - F.col("within"), others).alias("mean_path"))
+
+
+def distance_summary(reached: DataFrame) -> DataFrame:
+    """One row of reach(): diameter (of the component with the largest), mean distance over all pairs that reach each other, and effective diameter, the least hop within which nine tenths of those pairs are."""
+    by_hop = reached.groupBy("hop").agg(F.sum("reached").alias("pairs"))
+    hops = {r.hop: r.pairs for r in by_hop.collect()}  # a row a hop
+    top = max(hops, default=0)
+    own, all_ = hops.get(0, 0), hops.get(top, 0)
+    grew = [h for h in range(1, top + 1) if hops[h] > hops[h - 1]]
+    mean = sum(h * (hops[h] - hops[h - 1]) for h in range(1, top + 1)) / (all_ - own) if all_ > own else None
+    most = next((h for h in range(top + 1) if hops.get(h, 0) - own >= 0.9 * (all_ - own)), 0)
+    return reached.sparkSession.createDataFrame([(max(grew, default=0), mean, most)], "diameter int, mean_path double, effective_diameter int")
+
+
+def rooted_patterns(size: int) -> list[Pattern]:
+    """A pattern for each place (orbit) of the connected graphs of 2 to `size` vertices, at most five: 4, 15 or 73 places. By size, edges, the graph's least code, then the place; variable a is the place."""
+    out = []
+    for n in range(2, size + 1):
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        graphs = []
+        for code in set(class_codes(n).values()):
+            arcs = [p for k, p in enumerate(pairs) if code >> k & 1]
+            seen, todo = {0}, [0]
+            while todo:
+                v = todo.pop()
+                fresh = {a + b - v for a, b in arcs if v in (a, b)} - seen
+                seen |= fresh
+                todo += fresh
+            if len(seen) == n:
+                graphs.append((len(arcs), code, arcs))
+        for _, _, arcs in sorted(graphs):
+            places = set()
+            for v in range(n):
+                form = least_form([None] * n, {(min(a, b), max(a, b), None) for a, b in arcs}, False, v)
+                if form not in places:
+                    places.add(form)
+                    names = ["abcde"[(i - v) % n] for i in range(n)]
+                    out.append(Pattern(dict.fromkeys("abcde"[:n]), [(names[a], names[b], None) for a, b in arcs], directed=False, anchor="a"))
+    return out
+
+
+def orbit_counts(vertices: DataFrame, edges: DataFrame, size: int = 4, chunk: int = 6) -> DataFrame:
+    """(id, orbits array<long>): how often each vertex holds each place of rooted_patterns(size), induced; 15 numbers up to four vertices, 73 up to five.
+
+    A system of equations solved by its rule: an induced count is a signed sum of rooted homomorphism counts (merged vertices, edges added), which elimination gets from degrees, shared
+    neighbours of edges and what is left of larger cycles. Each homomorphism count is made once, and a vertex's row is their linear combination. Vertices without edges have zeros.
+    """
+    patterns = rooted_patterns(size)
+    systems = [signed(p.induced(), "a") for p in patterns]
+    forms = sorted({f for s in systems for f in s})
+    place = {f: i for i, f in enumerate(forms)}
+    engine = Elimination(vertices.select("id", F.lit(None).cast("string").alias("label")), edges, False)
+    made = []
+    for at in range(0, len(forms), chunk):
+        made.append(_cut(reduce(DataFrame.unionByName, (engine.count(f).select("id", F.lit(place[f]).alias("form"), "n") for f in forms[at : at + chunk]))))
+    rows = reduce(DataFrame.unionByName, made).groupBy("id").agg(*(F.sum(F.when(F.col("form") == i, F.col("n")).otherwise(0)).cast("decimal(38,0)").alias(f"h{i}") for i in range(len(forms))))
+    same = [len(p.automorphisms()) for p in patterns]
+    orbit = [(sum((F.col(f"h{place[f]}") * F.lit(sign) for f, sign in s.items()), F.lit(0)) / F.lit(k)).cast("bigint") for s, k in zip(systems, same, strict=True)]
+    none = F.array_repeat(F.lit(0).cast("bigint"), len(patterns))
+    return vertices.select("id").join(rows.select("id", F.array(*orbit).alias("orbits")), "id", "left").select("id", F.coalesce("orbits", none).alias("orbits"))
+
+
+def log_orbits(orbits: DataFrame) -> DataFrame:
+    """(id, v): ln(1 + count) of each place, as features."""
+    return orbits.select("id", F.transform("orbits", lambda x: F.log1p(x)).alias("v"))
 
 
 def edge_features(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

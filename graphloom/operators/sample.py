@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import adjacency
-from graphloom.operators.enumerate import set_shapes
+from graphloom.operators.enumerate import joined_shapes
 from graphloom.operators.traverse import _cut, bfs_ball, khop, neighborhood_edges, seed_sample
 
 
@@ -105,5 +105,5 @@ def target_subgraphs(vertices: DataFrame, edges: DataFrame, count: int = 20, mos
 def sampled_motifs(vertices: DataFrame, edges: DataFrame, size: int, n: int = 1000, seed: int = 42) -> DataFrame:
     """(degrees, m, n): how often each shape comes up among n random connected sets, the baseline by sampling."""
     grown = random_trees(edges, trials(vertices, n, size, size, seed), seed)
-    sets = grown.groupBy("trial").agg(F.array_sort(F.collect_list("id")).alias("nodes"))  # `size` ids
-    return set_shapes(sets, edges, size).groupBy("degrees", "m").agg(F.count("*").alias("n"))
+    sets = _cut(grown.groupBy("trial").agg(F.array_sort(F.collect_list("id")).alias("nodes")))  # `size` ids
+    return joined_shapes(sets, edges, size).groupBy("degrees", "m").agg(F.count("*").alias("n"))

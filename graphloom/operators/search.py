@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import canonical_code
+from graphloom.functions.canonical import canonical_code
 from graphloom.operators.report import best_margin_unique, hybrid_rank, rank_patterns
 
 FOUND = "trial bigint, size int, hash string, score double, support bigint, seed bigint, nodes array<bigint>"

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranks import running
+
 UNK = "UNK"
 VERSION = "v1"
 
 
 def build(values: DataFrame, column: str) -> DataFrame:
-    """(value, id) of the distinct non-null values. Distinct values are few by nature; their sorted numbering is one small task."""
+    """(value, id) of the distinct non-null values, numbered from 1 in their order by ranges."""
     v = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull() & (F.col("value") != UNK)).distinct()
-    return v.select("value", F.row_number().over(Window.orderBy("value")).cast("long").alias("id"))
+    return running(v, [F.col("value")], {"id": F.lit(1)})
 
 
 def encode(df: DataFrame, column: str, vocabulary: DataFrame, out: str) -> DataFrame:

@@ -232,3 +232,48 @@ def mean_path_length(spark, sf):
     e = star_edges(spark, sf)
     seeds = star_vertices(spark, sf).where("label = 'region'").select("id")
     return X.mean_path_length(e, seeds, 2).select("id", F.round("mean_path", 6).alias("mean_path"))
+
+
+@query("reach_summary")
+def reach_summary(spark, sf):
+    """Diameter and mean distance of the co-purchase graph over all of its vertices, by sketches."""
+    return X.distance_summary(X.reach(cop_vertices(spark, sf), cop_edges(spark, sf), lg_k=10))
+
+
+def _forest(spark, sf):
+    """Regions, nations and suppliers."""
+    e = star_edges(spark, sf).where(F.col("type").isin("in_region", "in_nation"))
+    return e.where((F.col("src") < 3 * TAG) | (F.col("src") >= 4 * TAG))
+
+
+#: Of trees of three levels: which shares of paths from flagged vertices each one parts.
+_BETWEEN = f"""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, (s_suppkey % 20 = 0)::INT AS f FROM supplier),
+n AS (SELECT n_nationkey AS n, n_regionkey AS r, (n_nationkey % 20 = 0)::INT AS fn, count(s.k) AS k, coalesce(sum(s.f), 0) AS f FROM nation LEFT JOIN s ON s.n = n_nationkey GROUP BY ALL),
+t AS (SELECT r, 1 + count(*) + sum(k) AS t, (r % 20 = 0)::INT + sum(f + fn) AS ft FROM n GROUP BY r), z AS (SELECT sum(t) AS all_n, sum(ft) AS all_k FROM t),
+b AS (SELECT {4 * TAG} + k AS id, 0 AS x FROM s UNION ALL SELECT {2 * TAG} + n, f * (t - 2) + (ft - f - fn) * k FROM n JOIN t USING (r) UNION ALL SELECT {TAG} + r, sum((f + fn) * (t - 2 - k)) FROM n JOIN t USING (r) GROUP BY r)
+SELECT id::BIGINT AS id, round(x::DOUBLE * all_n / all_k / ((all_n - 1) * (all_n - 2)), 9) AS betweenness FROM b, z"""
+
+
+@query("betweenness_sampled", _BETWEEN)
+def betweenness_sampled(spark, sf):
+    """Paths from the vertices with an id divisible by 20 in the trees of regions, nations and suppliers."""
+    e = _forest(spark, sf)
+    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return X.betweenness(e, ids.where("id % 20 = 0"), ()).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+#: A bipartite graph has no triangle, so that counts of paths, stars and squares follow from degrees and shared neighbours.
+_ORBITS4 = f"""WITH e AS (SELECT DISTINCT {6 * TAG} + l_orderkey AS a, {5 * TAG} + l_partkey AS b FROM lineitem), adj AS (SELECT a AS id, b AS nbr FROM e UNION ALL SELECT b, a FROM e),
+d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), near AS (SELECT adj.id, sum(d.k - 1) AS ends, sum((d.k - 1) * (d.k - 2) / 2) AS leaf FROM adj JOIN d ON d.id = nbr GROUP BY adj.id),
+two AS (SELECT x.id, y.nbr AS w, count(*) AS c FROM adj x JOIN adj y ON y.id = x.nbr AND y.nbr <> x.id GROUP BY ALL),
+far AS (SELECT two.id, sum(c * (d.k - 1)) AS paths, sum(c * (c - 1) / 2) AS squares FROM two JOIN d ON d.id = w GROUP BY two.id)
+SELECT d.id, k AS o0, (k * (k - 1) / 2)::BIGINT AS o1, ends::BIGINT AS o2, (k * (k - 1) * (k - 2) / 6)::BIGINT AS o4, leaf::BIGINT AS o5, ((k - 1) * ends - 2 * coalesce(squares, 0))::BIGINT AS o6, (coalesce(paths, 0) - 2 * coalesce(squares, 0))::BIGINT AS o7, coalesce(squares, 0)::BIGINT AS o11, {', '.join(f'0::BIGINT AS o{i}' for i in (3, 8, 9, 10, 12, 13, 14))}
+FROM d JOIN near USING (id) LEFT JOIN far USING (id)"""
+
+
+@query("orbit_counts4", _ORBITS4)
+def orbit_counts4(spark, sf):
+    """How often orders and parts hold each of the fifteen places of up to four vertices."""
+    e = star_edges(spark, sf).where("type = 'contains'")
+    v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return X.orbit_counts(v, e, 4).select("id", *(F.col("orbits")[i].alias(f"o{i}") for i in range(15)))

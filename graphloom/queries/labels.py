@@ -261,6 +261,12 @@ def stream_sessions(spark, sf):
     return M.sessions(M.edge_stream(table(spark, sf, "events"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("stream_steps", "WITH g AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS before, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS k FROM g), b AS (SELECT *, min(ts) OVER (PARTITION BY user_id, k) AS start FROM s) SELECT user_id AS src, start, before AS first, event_type AS second, count(*) AS n FROM b WHERE new = 0 GROUP BY ALL")
+def stream_steps(spark, sf):
+    """Which type of event follows which within a session; running_steps() keeps the same counts over a stream."""
+    return M.steps(M.edge_stream(table(spark, sf, "events"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("cop_brand_types", f"WITH {SQL_COP} SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS n FROM cop JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst GROUP BY 1, 2")
 def cop_brand_types(spark, sf):
     p = table(spark, sf, "part")

@@ -40,9 +40,25 @@ def interchange(spark: SparkSession, data: dict, directed: bool | None = None) -
     return g if (data.get("directed", True) if directed is None else directed) else PropertyGraph(g.vertices, g.undirected().edges, False)
 
 
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1, blank ones included.
+
+    Files are read in splits. Lines of a split come in order, so a line's place in its split is a difference of row numbers; a split starts at the
+    sum of the lines of its file's splits before it, of which there is one row each. No task reads more than a split, and lines are not shuffled.
+    """
+    from pyspark.sql import Window
+
+    text = spark.read.text(path, **({"pathGlobFilter": glob} if glob else {}))
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    splits = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "split", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(starts, ["file", "split"]).select("file", (F.col("row") + F.col("shift")).alias("line"), "value")
+
+
 def tu_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A collection of graphs in the TU text layout: vertices(graph_id, id, label), edges(graph_id, src, dst), graphs(graph_id, label). Vertices are numbered by line, by file position."""
-    numbered = lambda f, cols: spark.read.text(f"{folder}/{name}_{f}.txt", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("line", "t")).select((F.col("line") + 1).cast("long").alias("id"), F.trim("t").alias(cols))
+    numbered = lambda f, cols: numbered_lines(spark, f"{folder}/{name}_{f}.txt").where("trim(value) <> ''").select(F.col("line").alias("id"), F.trim("value").alias(cols))
     owner = numbered("graph_indicator", "g").select("id", F.col("g").cast("long").alias("graph_id"))
     labels = numbered("node_labels", "label")
     v = owner.join(labels, "id", "left").select("graph_id", "id", "label")
