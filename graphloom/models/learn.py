@@ -14,12 +14,13 @@ PAIRS = 2_000
 MARGIN = 0.1
 
 
-def _stacked(graphs: list[tuple[list, list]], inputs: int) -> tuple[np.ndarray, ...]:
-    """Many graphs (labels, edges) as one: features, both directions of the edges, graph of each vertex."""
+def _stacked(graphs: list[tuple[list, list, int]], inputs: int) -> tuple[np.ndarray, ...]:
+    """Many graphs (labels, edges, anchor) as one, with the inputs that embed() gives: anchor's flag and label bucket, both directions of the edges, graph of each vertex."""
     x, src, dst, of, at = [], [], [], [], 0
-    for g, (labels, edges) in enumerate(graphs):
+    for g, (labels, edges, anchor) in enumerate(graphs):
         f = np.zeros((len(labels), inputs))
         f[np.arange(len(labels)), 1 + np.asarray(labels, int) % (inputs - 1)] = 1
+        f[anchor, 0] = 1
         e = np.asarray(edges, int).reshape(-1, 2) + at
         x.append(f)
         src.append(np.concatenate([e[:, 0], e[:, 1]]))
@@ -73,14 +74,14 @@ def _gradient(spec: EncoderSpec, w: dict, x, src, dst, of, c: dict, out: np.ndar
 
 
 def pair_rows(pairs: DataFrame, most: int = PAIRS) -> list[tuple[int, tuple, tuple]]:
-    """At most `most` pairs on the driver: (label, a, b), each graph as (labels, edges) with places from 0 on."""
+    """At most `most` pairs on the driver: (label, a, b), each graph as (labels, edges, anchor) with places from 0 on."""
     out = []
     for r in pairs.orderBy("pair_id").limit(most).collect():
         graphs = []
-        for labels, edges in ((r.a_labels, r.a), (r.b_labels, r.b)):
+        for labels, edges, anchor in ((r.a_labels, r.a, r.a_anchor), (r.b_labels, r.b, r.b_anchor)):
             ids = sorted(labels)
             at = {v: i for i, v in enumerate(ids)}
-            graphs.append(([labels[v] for v in ids], [(at[e["src"]], at[e["dst"]]) for e in edges]))
+            graphs.append(([labels[v] for v in ids], [(at[e["src"]], at[e["dst"]]) for e in edges], at[anchor]))
         out.append((r.label, graphs[0], graphs[1]))
     return out
 

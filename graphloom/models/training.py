@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,62 +111,93 @@ def _grow(nbr: dict[int, set[int]], start: int, k: int, rng: np.random.Generator
     return have
 
 
-#: Labels of generated pairs; a changed label is the one after these, which no target has.
+#: Labels of generated graphs that come without any.
 N_LABELS = 4
+NEGATIVES = ("label", "hard", "structure")
 
 
-def labelled_pair(n: int, edges: list[tuple[int, int]], kind: str, rng: np.random.Generator) -> tuple[dict[int, int], list, dict[int, int], list]:
-    """(labels of a, edges of a, labels of b, edges of b): a is a connected sample of the graph, b a connected sample of a (positive), or one that can't lie in a: with a label that a lacks (label), with 1 to 5 edges more than a subgraph of its size and labels could have (hard), or with more edges and vertices than a (structure)."""
-    nbr: dict[int, set[int]] = {v: set() for v in range(n)}
+@dataclass
+class Labelled:
+    """A small graph: labels by vertex, edges, and the vertex that it is anchored at."""
+
+    labels: dict[int, int]
+    edges: list[tuple[int, int]]
+    anchor: int
+
+
+def _linked(vertices: set[int], edges: list[tuple[int, int]]) -> bool:
+    nbr: dict[int, set[int]] = {v: set() for v in vertices}
     for x, y in edges:
         nbr[x].add(y)
         nbr[y].add(x)
-    big = _grow(nbr, int(rng.integers(n)), max(3, n // 2), rng)
-    inner = {v: nbr[v] & big for v in big}
-    small = _grow(inner, int(rng.choice(sorted(big))), max(2, len(big) // 2), rng)
-    labels = {v: int(rng.integers(N_LABELS)) for v in sorted(big)}
-    a = [(x, y) for x in sorted(big) for y in sorted(inner[x]) if x < y]
-    b = [(x, y) for x, y in a if x in small and y in small]
-    of_b = {v: labels[v] for v in sorted(small)}
-    if kind == "label":
-        of_b[int(rng.choice(sorted(small)))] = N_LABELS
-    elif kind == "hard":
-        order = sorted(small)
-        free = [(x, y) for i, x in enumerate(order) for y in order[i + 1 :] if (x, y) not in set(b)]
-        rng.shuffle(free)
-        extra = int(rng.integers(1, 6))
-        top = max(len(inner[v]) for v in big)
-        for x, y in map(tuple, free):
-            if extra <= 0 and _degree(b) > top:
-                break
-            b.append((int(x), int(y)))
-            extra -= 1
-        while _degree(b) <= top:  # a vertex with more neighbours than any of a's
-            hub, new = order[0], max(of_b) + 1 + n
-            of_b[new] = of_b[hub]
-            b.append((hub, new))
-    elif kind == "structure":
-        of_b, b = dict(labels), list(a)
-        new, hub = max(big) + 1 + n, min(big)
-        of_b[new] = 0
-        b.append((hub, new))
-    return labels, a, of_b, b
-
-
-def _degree(edges: list[tuple[int, int]]) -> int:
-    count: dict[int, int] = {}
+    return len(_grow(nbr, min(vertices), len(vertices), np.random.default_rng(0))) == len(vertices)
+
+
+def _moved_labels(b: Labelled, rng: np.random.Generator) -> Labelled:
+    """The same labels on other vertices."""
+    ids = list(b.labels)
+    values = [b.labels[v] for v in ids]
+    mixed = [values[i] for i in rng.permutation(len(ids))]
+    mixed = mixed[1:] + mixed[:1] if mixed == values else mixed
+    return Labelled(dict(zip(ids, mixed, strict=True)), b.edges, b.anchor)
+
+
+def _near_miss(b: Labelled, rng: np.random.Generator) -> Labelled | None:
+    """One edge more, or one edge moved to another place, still connected."""
+    ids, have = sorted(b.labels), set(b.edges)
+    free = [(x, y) for i, x in enumerate(ids) for y in ids[i + 1 :] if (x, y) not in have]
+    if not free:
+        return None
+    edges = [*b.edges, free[int(rng.integers(len(free)))]]
+    if rng.random() < 0.8:
+        edges.pop(int(rng.integers(len(b.edges))))
+    return Labelled(b.labels, sorted(edges), b.anchor) if _linked(set(ids), edges) else None
+
+
+def labelled_pair(n: int, edges: list[tuple[int, int]], kind: str, rng: np.random.Generator, labels: list[int] | None = None, tries: int = 8) -> tuple[Labelled, Labelled] | None:
+    """(a, b): a is a connected sample of the graph, b a connected sample of a with its anchor (positive), or a near miss of the same law of sizes that an exact search doesn't find in a.
+
+    label: b's labels on other vertices. hard: an edge of b added or moved. structure: a connected sample from elsewhere in
+    the graph. drawn: such a sample, contained or not. None where no try gives a negative.
+    """
+    nbr: dict[int, set[int]] = {v: set() for v in range(n)}
     for x, y in edges:
-        count[x] = count.get(x, 0) + 1
-        count[y] = count.get(y, 0) + 1
-    return max(count.values(), default=0)
+        nbr[x].add(y)
+        nbr[y].add(x)
+    named = dict(enumerate(labels if labels is not None else rng.integers(N_LABELS, size=n).tolist()))
+
+    def part(of: dict[int, set[int]], start: int, size: int, anchor: int | None = None) -> Labelled:
+        have = _grow(of, start, size, rng)
+        at = anchor if anchor in have else int(rng.choice(sorted(have)))
+        return Labelled({v: named[v] for v in sorted(have)}, [(x, y) for x in sorted(have) for y in sorted(of[x] & have) if x < y], at)
+
+    for _ in range(tries):
+        a = part(nbr, int(rng.integers(n)), max(4, int(rng.integers(n // 2, max(n // 2 + 1, 3 * n // 4)))))
+        big = set(a.labels)
+        inner = {v: nbr[v] & big for v in big}
+        size = int(rng.integers(3, max(4, 2 * len(big) // 3 + 1)))
+        b = part(inner, int(rng.choice(sorted(big))), size)
+        a.anchor = b.anchor
+        if kind == "positive":
+            return a, b
+        if kind in ("structure", "drawn"):
+            away = sorted(set(range(n)) - big) or list(range(n))
+            b = part(nbr, int(rng.choice(away)), size)
+            a.anchor = b.anchor if b.anchor in big else a.anchor
+        else:
+            b = _moved_labels(b, rng) if kind == "label" else _near_miss(b, rng)
+        if b is not None and (kind == "drawn" or not contains(a.labels, a.edges, b.labels, b.edges)):
+            return a, b
+    return None
 
 
 def pair_batches(graphs: DataFrame, seed: int = 42, label_negatives: float = 0.25, hard_negatives: float = 0.25, balanced: bool = True) -> DataFrame:
-    """(pair_id, label, kind, a, b, a_labels, b_labels): edge lists and labels by vertex, where b lies (label 1) in a or doesn't (0), with its labels.
+    """(pair_id, label, kind, a, b, a_labels, b_labels, a_anchor, b_anchor): edge lists, labels by vertex and anchors, where b lies (label 1) in a, anchor on anchor, or doesn't (0).
 
-    balanced: every other pair is a negative of a stated kind. Else the imbalanced source: a and b are samples of
-    one graph drawn apart, and the label is what an exact test says.
+    graphs(graph_id, n, edges[, labels array<int>]). balanced: every other pair is a negative of a stated kind, verified; a graph that gives none of its kind gives one of another, and one
+    that gives none at all (a clique of one label) no pair. Else the imbalanced source: b is drawn apart from a, and the label is what an exact test of anchored containment says.
     """
+    given = "labels" in graphs.columns
 
     def run(batches):
         import pandas as pd
@@ -172,27 +205,30 @@ def pair_batches(graphs: DataFrame, seed: int = 42, label_negatives: float = 0.2
         as_rows = lambda e: [{"src": int(x), "dst": int(y)} for x, y in e]
         for pdf in batches:
             rows = []
-            for g, n, edges in zip(pdf.graph_id, pdf.n, pdf.edges, strict=True):
+            for g, n, edges, labels in zip(pdf.graph_id, pdf.n, pdf.edges, pdf.labels if given else [None] * len(pdf), strict=True):
                 rng = np.random.default_rng([seed, int(g), 1])
                 pairs = [(int(x["src"]), int(x["dst"])) for x in edges]
-                u, kind, label = rng.random(), "positive", 1
+                u, kinds = rng.random(), ["positive"]
                 if balanced and g % 2:
-                    label = 0
                     kind = "label" if u < label_negatives else "hard" if u < label_negatives + hard_negatives else "structure"
-                la, a, lb, b = labelled_pair(int(n), pairs, kind, rng)
-                if not balanced:
-                    _, _, lb, b = labelled_pair(int(n), pairs, "positive", rng)
-                    lb = {v: la.get(v, x) for v, x in lb.items()}
-                    label, kind = int(contains(la, a, lb, b)), "drawn"
-                rows.append((g, label, kind, as_rows(a), as_rows(b), la, lb))
-            yield pd.DataFrame(rows, columns=["pair_id", "label", "kind", "a", "b", "a_labels", "b_labels"])
+                    kinds = [kind, *(k for k in NEGATIVES if k != kind)]
+                elif not balanced:
+                    kinds = ["drawn"]
+                for kind in kinds:
+                    made = labelled_pair(int(n), pairs, kind, rng, None if labels is None else [int(x) for x in labels])
+                    if made:
+                        a, b = made
+                        label = int(contains(a.labels, a.edges, b.labels, b.edges, (a.anchor, b.anchor))) if kind == "drawn" else int(kind == "positive")
+                        rows.append((g, label, kind, as_rows(a.edges), as_rows(b.edges), a.labels, b.labels, a.anchor, b.anchor))
+                        break
+            yield pd.DataFrame(rows, columns=["pair_id", "label", "kind", "a", "b", "a_labels", "b_labels", "a_anchor", "b_anchor"])
 
     e, m = "array<struct<src:bigint,dst:bigint>>", "map<bigint,int>"
-    return graphs.mapInPandas(run, f"pair_id bigint, label int, kind string, a {e}, b {e}, a_labels {m}, b_labels {m}")
+    return graphs.select("graph_id", "n", "edges", *(["labels"] if given else [])).mapInPandas(run, f"pair_id bigint, label int, kind string, a {e}, b {e}, a_labels {m}, b_labels {m}, a_anchor bigint, b_anchor bigint")
 
 
-def contains(a_labels: dict[int, int], a: list, b_labels: dict[int, int], b: list) -> bool:
-    """Whether b is a subgraph of a, labels kept, edges of b among a's: an exact search for small graphs."""
+def contains(a_labels: dict[int, int], a: list, b_labels: dict[int, int], b: list, anchors: tuple[int, int] | None = None) -> bool:
+    """Whether b is a subgraph of a, labels kept, edges of b among a's, and b's anchor on a's where anchors (of a, of b) are given: an exact search for small graphs."""
     near: dict[int, set[int]] = {v: set() for v in a_labels}
     for x, y in a:
         near[x].add(y)
@@ -214,7 +250,7 @@ def contains(a_labels: dict[int, int], a: list, b_labels: dict[int, int], b: lis
         done = [to[x] for x in want[v] if x in to]
         some = set.intersection(*(near[x] for x in done)) if done else set(near)
         for w in sorted(some - set(to.values())):
-            if a_labels[w] == b_labels[v] and len(near[w]) >= len(want[v]):
+            if a_labels[w] == b_labels[v] and len(near[w]) >= len(want[v]) and (anchors is None or (w == anchors[0]) == (v == anchors[1])):
                 to[v] = w
                 if place(i + 1):
                     return True
@@ -225,7 +261,7 @@ def contains(a_labels: dict[int, int], a: list, b_labels: dict[int, int], b: lis
 
 
 def pairs_from_graph(vertices: DataFrame, edges: DataFrame, n: int, size: int = 20, seed: int = 42) -> DataFrame:
-    """The single-graph source: n neighbourhoods of one large graph as (graph_id, n, edges), with places for ids, as pair_batches() takes them."""
+    """The single-graph source: n neighbourhoods of one large graph as (graph_id, n, edges, labels), with places for ids, as pair_batches() takes them. labels come from vertices.label_id, or else from a hash of label."""
     from pyspark.sql import Window
 
     from graphloom.operators.traverse import bfs_ball, neighborhood_edges, seed_sample
@@ -235,7 +271,9 @@ def pairs_from_graph(vertices: DataFrame, edges: DataFrame, n: int, size: int =
     e = neighborhood_edges(edges, ball).join(place.select("seed", F.col("id").alias("src"), F.col("at").alias("x")), ["seed", "src"]).join(place.select("seed", F.col("id").alias("dst"), F.col("at").alias("y")), ["seed", "dst"])
     graphs = e.groupBy("seed").agg(F.array_sort(F.collect_set(F.struct(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))).alias("edges"))  # a neighbourhood's edges
     many = place.groupBy("seed").agg(F.count("*").cast("int").alias("n")).where("n > 3")
-    return graphs.join(many, "seed").select(F.col("seed").alias("graph_id"), "n", "edges")
+    number = F.col("label_id").cast("int") if "label_id" in vertices.columns else F.pmod(F.xxhash64("label"), F.lit(1 << 16)).cast("int")
+    named = place.join(vertices.select("id", number.alias("l")), "id").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("v"))  # `size` vertices
+    return graphs.join(many, "seed").join(named, "seed").select(F.col("seed").alias("graph_id"), "n", "edges", F.col("v.l").alias("labels"))
 
 
 def source(name: str, spark: SparkSession, n: int, seed: int = 42, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:

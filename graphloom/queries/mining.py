@@ -45,9 +45,10 @@ def _ball_graphs(spark, sf):
 
 @query("gnn_embed")
 def gnn_embed(spark, sf):
-    """Neighbourhoods of the co-purchase graph by an encoder that is trained on generated pairs."""
-    spec = N.EncoderSpec(conv="gin", layers=3, hidden=32)
-    L.train(L.pair_rows(G.source("syn-balanced", spark, 400), 400), spec, 8)
+    """Neighbourhoods of the co-purchase graph by an encoder that is trained on pairs from such neighbourhoods, with their labels and anchors."""
+    spec = N.EncoderSpec(conv="sage", layers=3, hidden=32)
+    v = cop_vertices(spark, sf).withColumn("label_id", F.regexp_extract("label", r"(\d+)$", 1).cast("int"))
+    L.train(L.pair_rows(G.source("node-balanced", spark, 400, vertices=v, edges=cop_edges(spark, sf)), 400), spec, 8, margin=1.0)
     return N.embed(_ball_graphs(spark, sf), spec)
 
 

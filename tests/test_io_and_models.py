@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,9 +91,19 @@ def test_pairs(spark):
     for r in rows:
         assert G.contains(r.a_labels, [tuple(e) for e in r.a], r.b_labels, [tuple(e) for e in r.b]) == bool(r.label), r.kind
     assert {r.kind for r in rows} == {"positive", "label", "hard", "structure"}
-    drawn = G.source("syn-imbalanced", spark, 40).collect()
+    for r in rows:
+        assert r.a_anchor in r.a_labels and r.b_anchor in r.b_labels
+        if r.label:
+            assert r.a_anchor == r.b_anchor and G.contains(r.a_labels, [tuple(e) for e in r.a], r.b_labels, [tuple(e) for e in r.b], (r.a_anchor, r.b_anchor))
+        elif r.kind == "label":  # the same labels and edges, elsewhere
+            assert set(r.b) <= set(r.a) and Counter(r.b_labels.values()) == Counter(r.a_labels[v] for v in r.b_labels)
+        elif r.kind == "hard":
+            assert len(set(r.b) - set(r.a)) == 1 and set(r.b_labels) <= set(r.a_labels)
+    drawn = G.source("syn-imbalanced", spark, 60).collect()
     assert {r.label for r in drawn} == {0, 1}
-    assert all(G.contains(r.a_labels, [tuple(e) for e in r.a], r.b_labels, [tuple(e) for e in r.b]) == bool(r.label) for r in drawn)
+    assert all(G.contains(r.a_labels, [tuple(e) for e in r.a], r.b_labels, [tuple(e) for e in r.b], (r.a_anchor, r.b_anchor)) == bool(r.label) for r in drawn)
+    clique = spark.createDataFrame([(1, 5, [(a, b) for a in range(5) for b in range(a + 1, 5)], [2] * 5)], "graph_id long, n int, edges array<struct<src:long,dst:long>>, labels array<int>")
+    assert G.pair_batches(clique).count() == 0  # a part of a clique of one label is in every larger one
     assert G.batch_mix(16, 0.5, 0.25) == {"positive": 8, "label": 4, "hard": 1, "structure": 3}
     assert G.mix_weights(["1", "x"], ["a", "b"]) == [0.5, 0.5] and G.mix_weights(["1", "3"], ["a", "b"]) == [0.25, 0.75]
 
