@@ -81,8 +81,8 @@ def random_graph(kind: str, n: int, rng: np.random.Generator) -> set[tuple[int,
 KINDS = ("er", "ws", "ba", "plc")
 
 
-def synthetic_graphs(spark: SparkSession, n: int, size: tuple[int, int] = (10, 30), seed: int = 42, planted: bool = False) -> DataFrame:
-    """(graph_id, kind, n, edges array<struct<src,dst>>): each graph from its own id and the seed alone. planted: a fixed pattern of ten vertices is added to each by two bridges."""
+def synthetic_graphs(spark: SparkSession, n: int, size: tuple[int, int] = (10, 30), seed: int = 42, planted: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, kind, n, edges array<struct<src,dst>>): each graph from its own id and the seed alone, of a size drawn from `size`, or as sizes(graph_id, n) say, of which there is a twin each. planted: a fixed pattern of ten vertices is added to each by two bridges."""
     plant = sorted(random_graph("er", 10, np.random.default_rng(14853)))
 
     def run(batches):
@@ -90,16 +90,18 @@ def synthetic_graphs(spark: SparkSession, n: int, size: tuple[int, int] = (10, 3
 
         for pdf in batches:
             rows = []
-            for g in pdf["id"]:
+            for g, given in zip(pdf["graph_id"], pdf["n"], strict=True):
                 rng = np.random.default_rng([seed, int(g)])
                 kind, k = KINDS[int(rng.integers(4))], int(rng.integers(size[0], size[1] + 1))
+                k = k if given < 0 else max(int(given), 2)
                 e = random_graph(kind, k, rng)
                 if planted:
                     e = e | {(a + k, b + k) for a, b in plant} | {(int(rng.integers(k)), k + int(rng.integers(10))) for _ in range(2)}
                 rows.append((g, kind, k + 10 * planted, [{"src": a, "dst": b} for a, b in sorted(e)]))
             yield pd.DataFrame(rows, columns=["graph_id", "kind", "n", "edges"])
 
-    return spark.range(n).mapInPandas(run, "graph_id bigint, kind string, n int, edges array<struct<src:bigint,dst:bigint>>")
+    of = spark.range(n).select(F.col("id").alias("graph_id"), F.lit(-1).alias("n")) if sizes is None else sizes.select(F.col("graph_id").cast("bigint").alias("graph_id"), F.col("n").cast("int").alias("n"))
+    return of.mapInPandas(run, "graph_id bigint, kind string, n int, edges array<struct<src:bigint,dst:bigint>>")
 
 
 def _grow(nbr: dict[int, set[int]], start: int, k: int, rng: np.random.Generator) -> set[int]:
@@ -194,7 +196,7 @@ def labelled_pair(n: int, edges: list[tuple[int, int]], kind: str, rng: np.rando
 def pair_batches(graphs: DataFrame, seed: int = 42, label_negatives: float = 0.25, hard_negatives: float = 0.25, balanced: bool = True) -> DataFrame:
     """(pair_id, label, kind, a, b, a_labels, b_labels, a_anchor, b_anchor): edge lists, labels by vertex and anchors, where b lies (label 1) in a, anchor on anchor, or doesn't (0).
 
-    graphs(graph_id, n, edges[, labels array<int>]). balanced: every other pair is a negative of a stated kind, verified; a graph that gives none of its kind gives one of another, and one
+    graphs(graph_id, n, edges[, labels array<int>]). balanced: half of the pairs, by draws, are negatives of a stated kind, verified; a graph that gives none of its kind gives one of another, and one
     that gives none at all (a clique of one label) no pair. Else the imbalanced source: b is drawn apart from a, and the label is what an exact test of anchored containment says.
     """
     given = "labels" in graphs.columns
@@ -209,7 +211,7 @@ def pair_batches(graphs: DataFrame, seed: int = 42, label_negatives: float = 0.2
                 rng = np.random.default_rng([seed, int(g), 1])
                 pairs = [(int(x["src"]), int(x["dst"])) for x in edges]
                 u, kinds = rng.random(), ["positive"]
-                if balanced and g % 2:
+                if balanced and rng.random() < 0.5:
                     kind = "label" if u < label_negatives else "hard" if u < label_negatives + hard_negatives else "structure"
                     kinds = [kind, *(k for k in NEGATIVES if k != kind)]
                 elif not balanced:
@@ -260,13 +262,13 @@ def contains(a_labels: dict[int, int], a: list, b_labels: dict[int, int], b: lis
     return place(0)
 
 
-def pairs_from_graph(vertices: DataFrame, edges: DataFrame, n: int, size: int = 20, seed: int = 42) -> DataFrame:
-    """The single-graph source: n neighbourhoods of one large graph as (graph_id, n, edges, labels), with places for ids, as pair_batches() takes them. labels come from vertices.label_id, or else from a hash of label."""
+def pairs_from_graph(vertices: DataFrame, edges: DataFrame, n: int, size: int = 20, seed: int = 42, seeds: DataFrame | None = None) -> DataFrame:
+    """The single-graph source: n neighbourhoods of one large graph as (graph_id, n, edges, labels), with places for ids, as pair_batches() takes them. labels come from vertices.label_id, or else from a hash of label. seeds (id): where they start, n drawn ones by default."""
     from pyspark.sql import Window
 
     from graphloom.operators.traverse import bfs_ball, neighborhood_edges, seed_sample
 
-    ball = bfs_ball(edges, seed_sample(vertices, n, seed), 3, size)
+    ball = bfs_ball(edges, seed_sample(vertices, n, seed) if seeds is None else seeds, 3, size)
     place = ball.withColumn("at", (F.row_number().over(Window.partitionBy("seed").orderBy("depth", "id")) - 1).cast("long"))
     e = neighborhood_edges(edges, ball).join(place.select("seed", F.col("id").alias("src"), F.col("at").alias("x")), ["seed", "src"]).join(place.select("seed", F.col("id").alias("dst"), F.col("at").alias("y")), ["seed", "dst"])
     graphs = e.groupBy("seed").agg(F.array_sort(F.collect_set(F.struct(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))).alias("edges"))  # a neighbourhood's edges

@@ -65,6 +65,13 @@ def graph_stats_by(vertices: DataFrame, edges: DataFrame, by: str = "graph_id")
     return d.groupBy("graph_id").agg(F.count("*").alias("n"), (F.sum(k) / 2).cast("long").alias("m"), F.max(k).alias("max_degree"), F.avg(k).alias("avg_degree"))
 
 
+def mean_clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: mean_clustering over all vertices (none for those with less than two neighbours) and transitivity, the share of open and closed triples that are closed."""
+    c = clustering(edges).agg(F.sum("clustering").alias("c"), F.sum("triangles").alias("t"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("w"))
+    n = vertices.agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(c)).select(F.try_divide(F.coalesce("c", F.lit(0.0)), "n").alias("mean_clustering"), F.coalesce(F.try_divide("t", "w"), F.lit(0.0)).alias("transitivity"))  # one row each
+
+
 def degree_sequence(edges: DataFrame) -> DataFrame:
     return degrees(edges).groupBy("degree").agg(F.count("*").alias("n"))
 

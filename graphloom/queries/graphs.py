@@ -279,3 +279,8 @@ def orbit_counts4(spark, sf):
     e = star_edges(spark, sf).where("type = 'contains'")
     v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return X.orbit_counts(v, e, 4).select("id", *(F.col("orbits")[i].alias(f"o{i}") for i in range(15)))
+
+
+@query("mean_clustering", f"WITH {SQL_COP}, {SQL_ADJ}, {_TRI}, t AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY id), d AS (SELECT id, count(*) AS k FROM adj GROUP BY id) SELECT round(sum(CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) / (SELECT count(*) FROM part), 6) AS mean_clustering, round(3.0::DOUBLE * (SELECT count(*) FROM tri) / sum(k * (k - 1) / 2), 6) AS transitivity FROM d LEFT JOIN t USING (id)")
+def mean_clustering(spark, sf):
+    return X.mean_clustering(cop_vertices(spark, sf), cop_edges(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("mean_clustering", "transitivity")))

@@ -288,16 +288,30 @@ def _uniform(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def _annotated_sql() -> str:
+def _labels_sql(preset: str) -> str:
+    """(id, label) of annotated parts, a tenth of the labels left out."""
     from graphloom.models.training import PRESETS
     from graphloom.plans.views import SQL_ADJ, SQL_COP
 
-    spec = PRESETS["universal"]
+    spec = PRESETS[preset]
     case = " ".join(f"WHEN bucket = '{b}' THEN {_drawn('u', spec[b])}" for b in ("high", "mid"))
-    return f"WITH {SQL_COP}, {SQL_ADJ}, d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), q AS (SELECT quantile_cont(k, 0.35) AS q1, quantile_cont(k, 0.75) AS q2 FROM d), b AS (SELECT p_partkey AS id, CASE WHEN k >= q2 THEN 'high' WHEN k <= q1 THEN 'low' WHEN k IS NOT NULL THEN 'mid' END AS bucket, {_uniform('42', 'p_partkey', '1')} AS u, {_uniform('42', 'p_partkey', '2')} AS w FROM part LEFT JOIN d ON id = p_partkey CROSS JOIN q) SELECT id, CASE WHEN w >= 0.1 THEN CASE {case} ELSE {_drawn('u', spec['low'])} END END AS label FROM b"
+    return f"WITH {SQL_COP}, {SQL_ADJ}, d AS (SELECT id, count(*) AS k FROM adj GROUP BY id), q AS (SELECT quantile_cont(k, 0.35) AS q1, quantile_cont(k, 0.75) AS q2 FROM d), b AS (SELECT p_partkey AS id, CASE WHEN k >= q2 THEN 'high' WHEN k <= q1 THEN 'low' WHEN k IS NOT NULL THEN 'mid' END AS bucket, {_uniform('42', 'p_partkey', '1')} AS u, {_uniform('42', 'p_partkey', '2')} AS w FROM part LEFT JOIN d ON id = p_partkey CROSS JOIN q), lab AS (SELECT id, CASE WHEN w >= 0.1 THEN CASE {case} ELSE {_drawn('u', spec['low'])} END END AS label FROM b)"
 
 
-@query("annotated_vertices", _annotated_sql())
+def _typed_sql(preset: str) -> str:
+    from graphloom.models.training import PRESETS
+
+    types = PRESETS[preset]["types"]
+    named = "[" + ", ".join(f"'{t}'" for t in types) + "]"
+    told = "a || '->' || b"
+    return f"""{_labels_sql(preset)}, h AS (SELECT a, b, (CASE WHEN {told} IS NULL THEN 0 ELSE list_sum(list_transform(range(1, length({told}) + 1), lambda i: i * ascii(substr({told}, i::INT, 1)))) % {len(types)} + 1 END)::INT AS type_id
+FROM (SELECT DISTINCT x.label AS a, y.label AS b FROM cop JOIN lab x ON x.id = src JOIN lab y ON y.id = dst)),
+t AS (SELECT CASE WHEN type_id = 0 THEN 'unknown' WHEN {_uniform('42', 'src', 'dst', '3')} < 0.1 THEN {named}[floor({_uniform('42', 'src', 'dst', '4')} * {len(types)})::INT + 1] ELSE {named}[type_id] END AS type, type_id
+FROM cop JOIN lab x ON x.id = src JOIN lab y ON y.id = dst JOIN h ON h.a IS NOT DISTINCT FROM x.label AND h.b IS NOT DISTINCT FROM y.label)
+SELECT type, type_id, count(*) AS n FROM t GROUP BY ALL"""
+
+
+@query("annotated_vertices", _labels_sql("universal") + " SELECT id, label FROM lab")
 def annotated_vertices(spark, sf):
     from graphloom.models.annotate import annotate
     from graphloom.plans.views import cop_edges, cop_vertices
@@ -305,7 +319,7 @@ def annotated_vertices(spark, sf):
     return annotate(cop_vertices(spark, sf), cop_edges(spark, sf), "universal", 0.1)[0]
 
 
-@query("annotated_edges")
+@query("annotated_edges", _typed_sql("biology"))
 def annotated_edges(spark, sf):
     from graphloom.models.annotate import annotate
     from graphloom.plans.views import cop_edges, cop_vertices

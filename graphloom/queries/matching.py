@@ -10,6 +10,7 @@ from graphloom.operators import match as M
 from graphloom.operators.count import counted
 from graphloom.plans.views import SQL_ADJ, SQL_COP, SQL_SE, SQL_SV, TAG, cop_edges, cop_vertices, star_edges, star_vertices, table
 from graphloom.queries.registry import query
+from graphloom.sinks.writers import own_folder, run_resumable
 
 CYCLE = M.Pattern({"c": "customer", "o": "order", "s": "supplier", "n": "nation"}, [("c", "o", "placed"), ("o", "s", "shipped_by"), ("c", "n", "in_nation"), ("s", "n", "in_nation")])
 WEDGE = M.Pattern({"a": None, "m": None, "b": None}, [("a", "m", None), ("m", "b", None)], directed=False)
@@ -120,9 +121,21 @@ def iso_classes(spark, sf):
     return C.iso_classes3(cop_edges(spark, sf), cop_vertices(spark, sf))
 
 
-@query("canonical_codes")
+@query("canonical_codes", "WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS labels FROM lineitem GROUP BY l_orderkey) SELECT array_to_string(labels, ',') || '|' || array_to_string(list_transform(range(0, len(labels)), lambda k: '0>' || k || ':next'), ';') AS code, count(*) AS n FROM g GROUP BY code")
 def canonical_codes(spark, sf):
     """Orders as small labelled graphs of their return flags (three at most), with their canonical codes."""
     i = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("labels"))
     i = i.withColumn("arcs", F.transform(F.sequence(F.lit(0), F.size("labels") - 1), lambda k: F.struct(F.lit(0).alias("src"), k.alias("dst"), F.lit("next").alias("type"))))
     return C.canonical(i).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("match_by_nation", f"SELECT n AS task, count(*) AS n FROM ({CYCLE_SQL}) GROUP BY n")
+def match_by_nation(spark, sf):
+    """Cycles counted nation by nation as tasks of a run that can be stopped and resumed; nations without one have no row."""
+    v, e = star_vertices(spark, sf), star_edges(spark, sf)
+
+    def work(left):
+        own = v.join(left.select(F.col("task").alias("id")), "id", "left_semi").unionByName(v.where("label <> 'nation'"))
+        return counted(CYCLE, own, e, by="n").select(F.col("id").alias("task"), "n", F.lit(None).cast("string").alias("error"))
+
+    return run_resumable(v.where("label = 'nation'").select(F.col("id").alias("task")), work, own_folder(spark), batches=3)

@@ -12,7 +12,7 @@ from graphloom.operators import canon as C
 from graphloom.operators import sample as P
 from graphloom.operators import search as S
 from graphloom.operators import traverse as T
-from graphloom.plans.views import cop_edges, cop_vertices, table
+from graphloom.plans.views import SQL_ADJ, SQL_COP, cop_edges, cop_vertices, table
 from graphloom.queries.registry import query
 
 SPEC = S.MineSpec()
@@ -81,7 +81,8 @@ def baseline_queries(spark, sf):
     return made[0].unionByName(made[1])
 
 
-@query("hub_starts")
+@query("hub_starts", f"""WITH {SQL_COP}, {SQL_ADJ}, d AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) AS k FROM part QUALIFY k <= 50), two AS (SELECT id, id AS at FROM d UNION SELECT d.id, nbr FROM d JOIN adj USING (id) UNION SELECT d.id, y.nbr FROM d JOIN adj x USING (id) JOIN adj y ON y.id = x.nbr),
+r AS (SELECT id, count(*) AS reach FROM two GROUP BY id) SELECT k % 5 AS trial, arg_max(id, (reach, -id)) AS id, max(reach) AS reach FROM d JOIN r USING (id) GROUP BY trial""")
 def hub_starts(spark, sf):
     return P.hub_starts(cop_vertices(spark, sf), cop_edges(spark, sf), 5)
 
@@ -106,24 +107,34 @@ def hash_text_vectors(spark, sf):
     return N.text_vectors(table(spark, sf, "part").select(F.col("p_brand").alias("label")))
 
 
+def _neighbourhoods(spark, sf):
+    """Small graphs of the parts with an id divisible by 20: (graph_id, n, edges, labels)."""
+    v = cop_vertices(spark, sf)
+    return G.pairs_from_graph(v, cop_edges(spark, sf), 0, seeds=v.where("id % 20 = 0").select("id"))
+
+
 @query("synth_graphs")
 def synth_graphs(spark, sf):
-    return G.synthetic_graphs(spark, 200).select("graph_id", "kind", "n", F.size("edges").alias("m"))
+    """A random graph of a drawn kind for each neighbourhood, of its size."""
+    return G.synthetic_graphs(spark, 0, sizes=_neighbourhoods(spark, sf)).select("graph_id", "kind", "n", F.size("edges").alias("m"))
 
 
 @query("planted_graphs")
 def planted_graphs(spark, sf):
-    return G.synthetic_graphs(spark, 100, planted=True).select("graph_id", "kind", "n", F.size("edges").alias("m"))
+    """The same with a fixed pattern planted into each."""
+    return G.synthetic_graphs(spark, 0, planted=True, sizes=_neighbourhoods(spark, sf)).select("graph_id", "kind", "n", F.size("edges").alias("m"))
 
 
 @query("pair_batches")
 def pair_batches(spark, sf):
-    return G.pair_batches(G.synthetic_graphs(spark, 200)).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))
+    """A labelled pair from each neighbourhood: half of them verified near misses."""
+    return G.pair_batches(_neighbourhoods(spark, sf)).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))
 
 
 @query("imbalanced_pairs")
 def imbalanced_pairs(spark, sf):
-    return G.source("syn-imbalanced", spark, 200).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))
+    """A pair drawn from each neighbourhood, with the label that an exact search gives it."""
+    return G.pair_batches(_neighbourhoods(spark, sf), balanced=False).select("pair_id", "label", "kind", F.size("a").alias("m_a"), F.size("b").alias("m_b"))
 
 
 @query("graph_pairs")

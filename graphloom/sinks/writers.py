@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import density
+from graphloom.operators.traverse import _cut
 
 
 def pattern_json(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
@@ -79,10 +81,17 @@ def run_resumable(tasks: DataFrame, work, folder: str, key: str = "task", batche
             left = left if known is None else left.join(known.select(key), key, "left_anti")
         if left.isEmpty():
             continue
-        got = work(left).checkpoint(eager=True)  # computed once for both tables
+        got = _cut(work(left))  # computed once for both tables
         got.where("error is null").drop("error").write.mode("append").parquet(f"{folder}/done")
         got.where("error is not null").select(key, "error").write.mode("append").parquet(f"{folder}/bad")
-    return spark.read.parquet(f"{folder}/done")
+    done = table_if_any(spark, f"{folder}/done")
+    return work(tasks.limit(0)).drop("error") if done is None else done  # no tasks, no results
+
+
+def own_folder(spark) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    _cut(spark.range(0))  # sets a checkpoint folder where there is none
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/runs/{uuid.uuid4().hex}"
 
 
 def table_if_any(spark, path: str) -> DataFrame | None:
