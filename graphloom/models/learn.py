@@ -7,11 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from graphloom.models.encoder import EncoderSpec
+from graphloom.models.encoder import EncoderSpec, shares
 
 #: At most so many pairs are fitted, those of least pair_id.
 PAIRS = 2_000
 MARGIN = 0.1
+TRAINED = ("sage", "graph", "gin")
 
 
 def _stacked(graphs: list[tuple[list, list, int]], inputs: int) -> tuple[np.ndarray, ...]:
@@ -32,12 +33,13 @@ def _stacked(graphs: list[tuple[list, list, int]], inputs: int) -> tuple[np.ndar
 
 def _pass(spec: EncoderSpec, w: dict, x, src, dst, of, n) -> tuple[np.ndarray, dict]:
     h = np.maximum(x @ w["pre"], 0)
+    c = shares(spec.conv, spec.agg, src, dst, len(x))
     past, ins, told = [h], [], []
     for k in range(spec.layers):
         gate = 1 / (1 + np.exp(-w[f"gate{k}"])) if spec.skip == "learnable" else np.ones(k + 1) if spec.skip == "all" else np.eye(k + 1)[k]
         h = sum(g * p for g, p in zip(gate, past, strict=True))
         t = np.zeros_like(h)
-        np.add.at(t, dst, h[src])
+        np.add.at(t, dst, h[src] * c[:, None])
         new = (h + t) @ w[f"nbr{k}"] if spec.conv == "gin" else h @ w[f"self{k}"] + t @ w[f"nbr{k}"]
         ins.append((gate, h))
         told.append(t)
@@ -49,7 +51,7 @@ def _pass(spec: EncoderSpec, w: dict, x, src, dst, of, n) -> tuple[np.ndarray, d
 
 
 def _gradient(spec: EncoderSpec, w: dict, x, src, dst, of, c: dict, out: np.ndarray) -> dict:
-    g = {"post2": c["mid"].T @ out}
+    g, share = {"post2": c["mid"].T @ out}, shares(spec.conv, spec.agg, src, dst, len(x))
     mid = (out @ w["post2"].T) * (c["mid"] > 0)
     g["post1"] = c["pooled"].T @ mid
     flow = np.split((mid @ w["post1"].T)[of], spec.layers + 1, axis=1)
@@ -64,7 +66,7 @@ def _gradient(spec: EncoderSpec, w: dict, x, src, dst, of, c: dict, out: np.ndar
             g[f"self{k}"], g[f"nbr{k}"] = h.T @ d, t.T @ d
             own, back = d @ w[f"self{k}"].T, d @ w[f"nbr{k}"].T
         own = own.copy()
-        np.add.at(own, src, back[dst])
+        np.add.at(own, src, back[dst] * share[:, None])
         for j, a in enumerate(gate):
             flow[j] += a * own
         if spec.skip == "learnable":
@@ -91,9 +93,9 @@ def violation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, tuple, tuple]], spec: EncoderSpec, epochs: int = 30, batch: int = 32, rate: float = 3e-3, schedule: str = "cos", clip: float = 1.0, margin: float = MARGIN, seed: int = 1) -> list[float]:
-    """Adam on the order loss, in place on spec.weights: what positives violate, and what negatives lack to the margin; gradients are clipped to a norm. Returns the loss of each epoch. Conv sage or gin; schedule none, step (halved each third) or cos."""
-    if spec.conv == "rgcn":
-        raise ValueError("relation-wise weights are not trained here")
+    """Adam on the order loss, in place on spec.weights: what positives violate, and what negatives lack to the margin; gradients are clipped to a norm. Returns the loss of each epoch. Conv sage, graph or gin, by sum or mean; schedule none, step (halved each third) or cos."""
+    if spec.conv not in TRAINED or spec.agg == "max":
+        raise ValueError(f"trained here are {', '.join(TRAINED)} by sum or mean")
     w = {k: v.astype(np.float64) for k, v in spec.weights.items() if not k.startswith(("bases", "coef"))}
     m, s, t = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     rng, losses = np.random.default_rng(seed), []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import normalise
 from graphloom.functions import scalar as S
 from graphloom.operators import features as X
 from graphloom.operators import report as R
@@ -336,3 +337,29 @@ def size_law(spark, sf):
     from graphloom.operators.sample import uniform
 
     return table(spark, sf, "part").select("p_partkey", law(uniform(42, "p_partkey", 1), 3, 8).alias("size"))
+
+
+_TYPE_ID = "(('0x' || substr(md5({t}), 1, 15))::BIGINT % 2147483647) % 1000000 + 1"
+
+
+@query("normal_vertices", f"""SELECT c_custkey AS id, label, semantic_label, ('0x' || substr(md5(semantic_label), 1, 15))::BIGINT % 2147483647 + 1 AS label_id, CASE WHEN c_custkey = c_nationkey THEN 1.0 ELSE 0.0 END::DOUBLE AS node_feature
+FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE c_custkey::VARCHAR END AS label, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN c_mktsegment ELSE 'STRUCTURAL' END AS semantic_label FROM customer)""")
+def normal_vertices(spark, sf):
+    """Customers with attributes of four kinds: a label, an unknown word, a meaning padded by blanks, none."""
+    k, text = F.col("c_custkey"), lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    attrs = F.when(k % 4 == 0, text("label", F.col("c_mktsegment"))).when(k % 4 == 1, text("semantic_label", "none")).when(k % 4 == 2, text("semantic_label", F.concat(F.lit("  "), "c_mktsegment")))
+    v = table(spark, sf, "customer").select(k.cast("long").alias("id"), attrs.alias("attrs"), "c_nationkey")
+    return normalise.normal_vertices(v, F.col("id") == F.col("c_nationkey")).drop("attrs")
+
+
+@query("normal_edges", f"""SELECT l_orderkey AS src, l_partkey AS dst, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::DOUBLE ELSE 1.0 END AS weight, type_name, (CASE WHEN l_linenumber = 3 THEN 7 ELSE {_TYPE_ID.format(t="type_name")} END)::BIGINT AS type_id, l_discount::DOUBLE AS discount, CASE WHEN l_linenumber = 3 THEN 5 ELSE 4 END - (l_linenumber = 3)::INT AS n_attrs
+FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 'unknown' ELSE l_returnflag END AS type_name FROM lineitem)""")
+def normal_edges(spark, sf):
+    """Lines as edges with attributes of several kinds: numbers, a type or a number in its place, a text, a blank key."""
+    n, entry = F.col("l_linenumber"), lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    attrs = F.array(
+        entry("relation", F.when(n % 3 == 0, "12").otherwise(F.col("l_returnflag"))), entry("weight", F.when(n % 2 == 0, F.col("l_quantity").cast("double").cast("string")).otherwise("heavy")),
+        entry("discount", F.col("l_discount").cast("double")), entry(" ", F.lit("1")), entry("note", F.lit("abc")), entry("type_id", F.when(n == 3, "7")),
+    )
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.map_from_entries(F.filter(attrs, lambda x: x["value"].isNotNull())).alias("attrs"))
+    return normalise.normal_edges(e).select("src", "dst", "weight", "type_name", "type_id", F.col("attrs")["discount"].alias("discount"), F.size(F.map_filter("attrs", lambda k, v: k != "relation")).alias("n_attrs"))

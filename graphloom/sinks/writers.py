@@ -12,14 +12,26 @@ from graphloom.functions.scalar import density
 from graphloom.operators.traverse import _cut
 
 
+def _with_attributes(own: Column, attrs: Column, keys: tuple[str, ...]) -> Column:
+    """The JSON object of a struct with the entries of a map behind it, less those under the struct's own keys."""
+    more = F.to_json(F.map_filter(attrs, lambda k, v: ~k.isin(*keys) & v.isNotNull()))
+    return F.when(attrs.isNull() | (more == "{}"), F.to_json(own)).otherwise(F.concat(F.regexp_replace(F.to_json(own), r"\}$", ","), F.substring(more, 2, 1 << 30)))
+
+
 def pattern_json(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
-    """(pattern, json) of nodes(pattern, id, label, anchor) and edges(pattern, src, dst, type): nodes, edges and metadata of one pattern a row."""
-    v = nodes.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("id", "label", "anchor"))).alias("nodes"))
-    e = edges.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type"))).alias("edges"))
-    none = F.array().cast("array<struct<source:bigint,target:bigint,type:string>>")
-    j = v.join(e, "pattern", "left").withColumn("edges", F.coalesce("edges", none))
-    meta = F.struct(F.size("nodes").alias("num_nodes"), F.size("edges").alias("num_edges"), F.lit(directed).alias("is_directed"))
-    return j.select("pattern", F.to_json(F.struct("nodes", "edges", meta.alias("metadata"))).alias("json"))
+    """(pattern, json) of nodes(pattern, id, label, anchor[, attrs]) and edges(pattern, src, dst, type[, attrs]): nodes, edges and metadata of one pattern a row. Entries of attrs, a map, are passed through as further keys."""
+
+    def listed(df: DataFrame, own: list[Column], keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+        one = F.struct(*own)
+        text = _with_attributes(one, F.col("attrs"), keys) if "attrs" in df.columns else F.to_json(one)
+        rows = df.select("pattern", F.struct(*order, text.alias("json")).alias("x"))
+        return rows.groupBy("pattern").agg(F.array_sort(F.collect_list("x")).alias("x")).select("pattern", F.concat(F.lit("["), F.array_join("x.json", ","), F.lit("]")).alias("json"), F.size("x").alias("n"))  # a pattern's own
+
+    v = listed(nodes, [F.col("id"), F.col("label"), F.col("anchor")], ("id", "label", "anchor"), ("id", "label", "anchor"))
+    e = listed(edges, [F.col("src").alias("source"), F.col("dst").alias("target"), F.col("type")], ("source", "target", "type"), ("src", "dst", "type"))
+    j = v.join(e.select("pattern", F.col("json").alias("edges"), F.col("n").alias("m")), "pattern", "left")
+    meta = F.to_json(F.struct(F.col("n").alias("num_nodes"), F.coalesce("m", F.lit(0)).alias("num_edges"), F.lit(directed).alias("is_directed")))
+    return j.select("pattern", F.concat(F.lit('{"nodes":'), "json", F.lit(',"edges":'), F.coalesce("edges", F.lit("[]")), F.lit(',"metadata":'), meta, F.lit("}")).alias("json"))
 
 
 def instances_json(patterns: DataFrame, context: DataFrame) -> DataFrame:

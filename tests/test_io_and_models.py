@@ -129,3 +129,31 @@ def test_entry_point():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pattern_json_passes_attributes_through(spark):
+    nodes = spark.createDataFrame([(1, 5, "a", 1, {"score": 0.5, "label": 9.0}), (1, 3, 'q"x', 0, None), (2, 4, None, 0, {})], "pattern int, id long, label string, anchor int, attrs map<string,double>")
+    edges = spark.createDataFrame([(1, 5, 3, "r", {"weight": 2.0}), (1, 3, 5, "r", {})], "pattern int, src long, dst long, type string, attrs map<string,double>")
+    got = {r.pattern: json.loads(r.json) for r in W.pattern_json(nodes, edges).collect()}
+    assert got[1]["nodes"] == [{"id": 3, "label": 'q"x', "anchor": 0}, {"id": 5, "label": "a", "anchor": 1, "score": 0.5}]
+    assert got[1]["edges"] == [{"source": 3, "target": 5, "type": "r"}, {"source": 5, "target": 3, "type": "r", "weight": 2.0}]
+    assert got[2] == {"nodes": [{"id": 4, "anchor": 0}], "edges": [], "metadata": {"num_nodes": 1, "num_edges": 0, "is_directed": True}}
+
+
+@pytest.mark.parametrize("conv", N.CONVS)
+def test_convolutions_do_not_depend_on_numbering(conv):
+    rng = np.random.default_rng(3)
+    src, dst = np.array([0, 1, 2, 3, 1, 0]), np.array([1, 2, 3, 1, 4, 4])
+    both = np.concatenate([src, dst]), np.concatenate([dst, src])
+    x, p, rel = rng.random((5, 16)).astype(np.float32), rng.permutation(5), np.tile(np.arange(6) % 3, 2)
+    for agg in N.AGGS:
+        spec = N.EncoderSpec(conv=conv, layers=2, hidden=6, agg=agg)
+        a = N.forward(spec, x, *both, rel, np.zeros(5, int), 1)
+        moved = np.empty_like(x)
+        moved[p] = x
+        assert np.isfinite(a).all() and np.allclose(a, N.forward(spec, moved, p[both[0]], p[both[1]], rel, np.zeros(5, int), 1), atol=1e-5)
+    h = np.array([[1.0, -4.0], [3.0, 2.0], [5.0, 0.0]])
+    s, d = np.array([1, 2]), np.array([0, 0])
+    assert N.gather("mean", h, s, d, 3).tolist() == [[4, 1], [0, 0], [0, 0]] and N.gather("max", h, s, d, 3).tolist() == [[5, 2], [0, 0], [0, 0]] and N.gather("sum", h, s, d, 3).tolist() == [[8, 2], [0, 0], [0, 0]]
+    with pytest.raises(ValueError):
+        N.EncoderSpec(conv="none")
