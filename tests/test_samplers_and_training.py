@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -97,6 +98,14 @@ def test_closed_walks(spark):
     v = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 5), (2, 6), (2, 7)], "graph_id long, id long")
     got = {r.id: r.powers for r in X.identity_powers(e, v, 3).collect()}
     assert np.allclose(got[0], [0, 0.5, 0.25]) and np.allclose(got[5], [0, 1, 0]) and np.allclose(got[7], [0, 0, 0])
+    pairs = [(int(a), int(b)) for a, b in np.random.default_rng(2).integers(0, 9, (16, 2)) if a < b]
+    m = np.zeros((9, 9))
+    for a, b in pairs:
+        m[a, b] = m[b, a] = 1
+    d = np.where(m.sum(1) > 0, m.sum(1), 1) ** -0.5
+    m = d[:, None] * m * d
+    rows = X.identity_powers(spark.createDataFrame([(3, a, b) for a, b in pairs], "graph_id long, src long, dst long"), spark.range(9).selectExpr("3L graph_id", "id"), 5).collect()
+    assert len(rows) == 9 and all(np.allclose(r.powers, [np.linalg.matrix_power(m, p)[r.id, r.id] for p in range(1, 6)]) for r in rows)
 
 
 def test_annotation(spark, graph):
@@ -169,6 +178,20 @@ def test_classes_split_a_hash(spark):
     assert sorted((r.n, r.rank_in_hash) for r in got) == [(1, 2), (2, 1)]
 
 
+def test_mined_classes_equal_brute_force(spark):
+    """Isomorphism with labels and directions decided by trying all orders."""
+    from itertools import permutations
+
+    r, rows = random.Random(12), []
+    for _ in range(150):
+        n = r.randint(3, 4)
+        rows.append(("h" * n, [r.choice("ab") for _ in range(n)], sorted({(a, b, "") for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(3)) if a != b})))
+    least = lambda labels, arcs: min((tuple(labels[v] for v in p), tuple(sorted((p.index(a), p.index(b)) for a, b, _ in arcs))) for p in permutations(range(len(labels))))
+    want = Counter((len(labels), least(labels, arcs)) for _, labels, arcs in rows)
+    got = C.classes(spark.createDataFrame(rows, "hash string, labels array<string>, arcs array<struct<src:int,dst:int,type:string>>")).collect()
+    assert sorted((x["size"], x.n) for x in got) == sorted((size, n) for (size, _), n in want.items())
+
+
 def test_resume_and_metrics(spark, tmp_path):
     tasks, ran = spark.range(20).withColumnRenamed("id", "task"), spark.sparkContext.accumulator(0)
     T._cut(tasks)
@@ -180,6 +203,7 @@ def test_resume_and_metrics(spark, tmp_path):
     for _ in range(2):
         assert W.run_resumable(tasks, work, str(tmp_path / "r"), batches=3).count() == 19
     assert ran.value == 20 and [r.task for r in spark.read.parquet(str(tmp_path / "r/bad")).collect()] == [13]
+    assert W.run_resumable(tasks.limit(0), work, str(tmp_path / "none"), batches=2).count() == 0
     for step in (1, 2):
         W.append_metrics(spark, str(tmp_path / "m"), "run", step, {"loss": 1 / step})
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
