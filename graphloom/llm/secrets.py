@@ -20,7 +20,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_ID = re.compile(r"(?<![A-Za-z0-9])(?:client_?id|key_?id|access_?key|account|user_?name|username|login|user)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{4,64})", re.I | re.A)
+_ID = re.compile(r"(?<![A-Za-z0-9])(?:client_?id|key_?id|access_?key|account|user_?name|username|login|user)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{4,})", re.I | re.A)
 _LOOSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._:@-]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])", re.A)
 _BREAK = re.compile(r"\n[^\S\n]*\n")

@@ -55,6 +55,12 @@ def test_secrets(spark):
     assert "AKIA" not in red[0].text and "alone" in red[0].text and red[1].text is None and red[0].source == "s"
 
 
+def test_long_identifiers_are_whole():
+    name = "j" + "ane.doe" * 40
+    found = secrets.find(f"user={name} token=abcdefghijkl1")
+    assert found[0][:3] == ("id", 0, 5 + len(name))
+
+
 def test_secrets_many_parts_stay_linear():
     text = " ".join(f"user=name{i} token=abcdefghijkl{i}" for i in range(3000))
     assert len(secrets.find(text)) == 6000
