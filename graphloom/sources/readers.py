@@ -60,7 +60,10 @@ def tu_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFram
     """A collection of graphs in the TU text layout: vertices(graph_id, id, label), edges(graph_id, src, dst), graphs(graph_id, label). Vertices are numbered by line, by file position."""
     numbered = lambda f, cols: numbered_lines(spark, f"{folder}/{name}_{f}.txt").where("trim(value) <> ''").select(F.col("line").alias("id"), F.trim("value").alias(cols))
     owner = numbered("graph_indicator", "g").select("id", F.col("g").cast("long").alias("graph_id"))
-    labels = numbered("node_labels", "label")
+    try:
+        labels = numbered("node_labels", "label")
+    except AnalysisException:  # some collections have no such file
+        labels = owner.select("id", F.lit(None).cast("string").alias("label")).limit(0)
     v = owner.join(labels, "id", "left").select("graph_id", "id", "label")
     pair = F.split("value", r",\s*")
     e = spark.read.text(f"{folder}/{name}_A.txt").where("trim(value) <> ''").select(F.trim(pair[0]).cast("long").alias("src"), F.trim(pair[1]).cast("long").alias("dst"))
@@ -68,6 +71,37 @@ def tu_collection(spark: SparkSession, folder: str, name: str) -> tuple[DataFram
     return v, e, numbered("graph_labels", "label").withColumnRenamed("id", "graph_id")
 
 
+#: Names of the collections and of their files.
+COLLECTIONS = {"enzymes": "ENZYMES", "proteins": "PROTEINS", "cox2": "COX2", "aids": "AIDS", "reddit-binary": "REDDIT-BINARY", "imdb-binary": "IMDB-BINARY", "firstmm_db": "FIRSTMM_DB", "dblp": "DBLP_v1", "ppi": "PPI", "qm9": "QM9"}
+
+
+def collection(spark: SparkSession, name: str, root: str = ".") -> tuple[DataFrame, DataFrame]:
+    """vertices(graph_id, id, label) and edges(graph_id, src, dst) of a collection by name: files in the TU text layout in root/NAME, or `atlas`, which needs none. split_by_hash on graph_id gives training and test graphs."""
+    if name == "atlas":
+        return atlas(spark)
+    if name not in COLLECTIONS:
+        raise ValueError(f"{name} is none of {', '.join([*COLLECTIONS, 'atlas'])}")
+    v, e, _ = tu_collection(spark, f"{root}/{COLLECTIONS[name]}", COLLECTIONS[name])
+    return v, e
+
+
+def atlas(spark: SparkSession, most: int = 7) -> tuple[DataFrame, DataFrame]:
+    """All connected graphs of up to `most` vertices, one of each class: 996 up to seven. Each grows from one with a vertex less, by a vertex with some neighbours, and is known by its canonical code. Ids are unique over the atlas."""
+    from graphloom.functions.canonical import canonical_code
+
+    found, layer = [(1, [])], [(1, [])]
+    for n in range(1, most):
+        codes = {}
+        for _, pairs in layer:
+            for bits in range(1, 1 << n):
+                grown = [*pairs, *((v, n) for v in range(n) if bits >> v & 1)]
+                codes.setdefault(canonical_code(n + 1, [x for a, b in grown for x in ((a, b, ""), (b, a, ""))], [""] * (n + 1)), grown)
+        layer = [(n + 1, pairs) for pairs in codes.values()]
+        found += layer
+    v = spark.createDataFrame([(g, 10 * g + i, None) for g, (n, _) in enumerate(found) for i in range(n)], "graph_id long, id long, label string")
+    return v, spark.createDataFrame([(g, 10 * g + a, 10 * g + b) for g, (_, pairs) in enumerate(found) for a, b in pairs], "graph_id long, src long, dst long")
+
+
 def first_graphs(vertices: DataFrame, n: int) -> DataFrame:
     """The vertices of the first n graphs of a collection, by graph_id."""
     keep = vertices.select("graph_id").distinct().orderBy("graph_id").limit(n)

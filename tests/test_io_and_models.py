@@ -33,6 +33,21 @@ def test_tu_collection(spark, tmp_path):
     v, e, g = R.tu_collection(spark, str(tmp_path), "T")
     assert v.count() == 4 and {(r.graph_id, r.src, r.dst) for r in e.collect()} == {(1, 1, 2), (1, 2, 1), (2, 3, 4)} and g.count() == 2
     assert {r.id for r in R.first_graphs(v, 1).collect()} == {1, 2}
+    (tmp_path / "COX2").mkdir()
+    for name, text in {"A": "1, 2\n2, 1\n", "graph_indicator": "1\n1\n", "graph_labels": "0\n"}.items():
+        (tmp_path / "COX2" / f"COX2_{name}.txt").write_text(text)
+    v, e = R.collection(spark, "cox2", str(tmp_path))
+    assert [tuple(r) for r in v.orderBy("id").collect()] == [(1, 1, None), (1, 2, None)] and e.count() == 2
+    with pytest.raises(ValueError):
+        R.collection(spark, "none")
+
+
+def test_atlas(spark):
+    v, e = R.atlas(spark, 6)
+    n = Counter(r["count"] for r in v.groupBy("graph_id").count().collect())
+    assert n == {1: 1, 2: 1, 3: 2, 4: 6, 5: 21, 6: 112}
+    train, test = R.split_by_hash(v.select("graph_id").distinct(), "graph_id")
+    assert train.count() + test.count() == 143 and e.where("src >= dst").count() == 0
 
 
 def test_counts_and_labels(spark, tmp_path):
