@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text that are handled at once, one whole text at least.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Segments of more characters are walked one by one: a step over all segments at once pays only for many of them.
 LONG = 256
 _U = np.uint64
