@@ -188,12 +188,13 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, toxic, text) of at most `rows` labelled documents whose crc32(doc_id) mod 4 is not 2, those of least hashed doc_id. Labels that are null or name no document are ignored; a document labelled twice has its larger label."""
+    """(doc_id, toxic, text) of at most `rows` labelled documents whose crc32(doc_id) mod 4 is not 2, those of least hashed doc_id. Labels that are null or name no document are ignored; a document labelled twice has its larger label; of rows that share a doc_id the least text is taken, so that there are no more rows than labels."""
     marked = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text")  # `rows` rows at most
+    met = texts.join(F.broadcast(marked), "doc_id")  # `rows` labels at most
+    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def sketch(words) -> int:

@@ -83,6 +83,8 @@ def test_toxicity_learns_terms(spark):
     assert len(held) > 150 and all(zlib.crc32(str(x.doc_id).encode()) % 4 == 2 for x in held)
     assert sum(x.predicted == (x.doc_id % 6 == 0) for x in held) / len(held) > 0.97
     assert got[7001].score == got[7002].score < 0.3 and got[7003].n_hits == 40_000 and got[None].predicted == 1 and not got[None].held_out
+    repeated = toxicity.labelled(documents(spark, [(1, "b"), (1, "a"), (1, "b"), (None, "c"), (0, None)]), lab, 10_000, "doc_id", "text")
+    assert sorted((x.doc_id, x.toxic, x.text) for x in repeated.collect()) == [(0, 1, ""), (1, 0, "a")]
     empty = toxicity.fit_toxicity(documents(spark, []), lab)
     assert empty.terms == {} and [x.score for x in toxicity.find_terms(documents(spark, [(1, "zwork"), (2, None)]), empty).collect()] == [0.5, 0.5]
     assert toxicity.find_terms(documents(spark, []), lex).count() == 0
