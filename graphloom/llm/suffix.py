@@ -19,6 +19,8 @@ CHUNK = 1 << 21
 SORTED = 1 << 18
 #: Anchors with more bytes of contexts are hot: their strings are dealt one by one.
 HOT = 1 << 20
+#: Runs that cover more bytes are hashed by BLAKE2: texts of 512 bytes and more can be made whose polynomial hashes modulo 2**64 are equal for every base.
+PLAIN = 256
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _RNG = np.random.default_rng(20240921)
@@ -74,6 +76,8 @@ def anchors(raw: np.ndarray, first: np.ndarray, size: np.ndarray, length: int =
     ends = np.minimum(np.append(heads[1:], len(start)) - 1, last_fit)
     count = ends - heads + 1
     cover = _mixed((sums[ends + length] - sums[heads]) * down[heads] + count.astype(_U))
+    for i in np.flatnonzero(count + length - 1 > PLAIN).tolist():  # runs overlap by less than length, so that this stays linear
+        cover[i] = int.from_bytes(hashlib.blake2b(raw[heads[i] : ends[i] + length].tobytes(), digest_size=8).digest(), "little")
     return text[heads], heads - first[text[heads]], count, low[heads], cover
 
 

@@ -50,7 +50,7 @@ def linked_urls(url: Column, html: Column) -> Column:
 
 
 def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Adds rule (host and path of the longest rule that fits, else null) and rule_verdict. Needs columns host and path."""
+    """Adds rule (host and path of the longest rule that fits, ties: the first in code-point order, else null) and rule_verdict. Needs columns host and path."""
     ordered = sorted({(h + p, h, p, v) for v, h, p in rules}, key=lambda r: (-len(r[0]), r))
     if not ordered:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
@@ -65,7 +65,7 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = pages.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.length("rule")).alias("best")).select("host", "path", "best.*")
+    best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "rule_verdict"), F.struct(-F.length("rule"), "rule", "rule_host", "rule_path", "rule_verdict")).alias("best")).select("host", "path", "best.*")
     return pages.join(best, ["host", "path"], "left")
 
 
