@@ -100,31 +100,32 @@ def two_stage(text: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     decided = np.minimum.accumulate(decided[::-1])[::-1]
     small = less[decided]
     whole = text.tobytes()
-    stops = stop.tolist()
-    direct = sorted(np.flatnonzero(small).tolist(), key=lambda i: whole[i : min(i + depth, stops[i])])
+    at = np.flatnonzero(small)
+    keys = [whole[i:e] for i, e in zip(at.tolist(), np.minimum(at + depth, stop[at]).tolist(), strict=True)]
+    direct = at[sorted(range(len(at)), key=keys.__getitem__)]
     # each bucket of a byte holds first the induced suffixes, then the directly sorted ones; a part's last byte comes before all
     size = np.bincount(text, minlength=256)
     heads = np.cumsum(size) - size
     large = np.bincount(text[~small], minlength=256)
-    order = [-1] * n
-    k = (heads + large).tolist()
-    for i in direct:
-        c = whole[i]
-        order[k[c]] = i
-        k[c] += 1
+    few = size - large
+    placed = np.full(n, -1)
+    placed[np.arange(len(direct)) + np.repeat(heads + large - (np.cumsum(few) - few), few)] = direct
+    order = placed.tolist()
     fill = heads.tolist()
     for i in np.flatnonzero(at_end).tolist():  # their successor is the empty suffix, smaller than all
         c = whole[i]
         order[fill[c]] = i
         fill[c] += 1
-    induced = (~small).tolist()
     starts = np.zeros(n, bool)
     starts[np.append(0, stop[:-1][at_end[:-1]])] = True
-    first = starts.tolist()
+    before = np.full(n + 1, -1)  # the induced suffix that a suffix is the successor of; none for the last entry, which -1 reads
+    before[1:n] = np.where(~small[:-1] & ~starts[1:], np.arange(n - 1), -1)
+    before = before.tolist()
     for i in order:  # the list grows ahead of the scan
-        if i > 0 and not first[i] and induced[i - 1]:
-            c = whole[i - 1]
-            order[fill[c]] = i - 1
+        j = before[i]
+        if j >= 0:
+            c = whole[j]
+            order[fill[c]] = j
             fill[c] += 1
     return np.array(order, np.int64)
 
