@@ -163,3 +163,28 @@ def test_rates_and_ranks(spark):
 def test_betweenness_of_a_path(spark):
     g = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "graph_id long, src long, dst long")
     assert {r.id: r.betweenness for r in betweenness(g).collect()} == {0: 0.0, 1: 1.0, 2: 0.0}
+
+
+def test_non_edges_shuffle_no_pairs(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    from graphloom import graph as G
+
+    monkeypatch.setattr(G, "SIDE", 16)
+    rng = random.Random(2)
+    have = {(a, b) for a, b in combinations(range(90), 2) if rng.random() < 0.3 or a == 7}
+    e = spark.createDataFrame([(b, a) if (a + b) % 2 else (a, b) for a, b in have] + [(5, 5)], "src long, dst long")
+    got = G.non_edges(spark.range(90), e)
+    assert sorted(map(tuple, got.collect())) == sorted(set(combinations(range(90), 2)) - have)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hub_joins_are_dealt(spark):
+    from graphloom.operators import match as M
+
+    v = spark.createDataFrame([(0, "hub"), (1, "hub")] + [(10 + i, "a") for i in range(50)] + [(100 + i, "b") for i in range(30)], "id long, label string")
+    e = spark.createDataFrame([(10 + i, i % 2, "t") for i in range(50)] + [(100 + i, i % 2, "t") for i in range(30)], "src long, dst long, type string")
+    star = M.Pattern({"h": "hub", "x": "a", "y": "b"}, [("x", "h", "t"), ("y", "h", "t")])
+    plain, dealt = M.match(star, v, e), M.match(star, v, e, hubs=("h",))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect())) and dealt.rdd.getNumPartitions() >= M.PIECES > plain.rdd.getNumPartitions()
