@@ -39,3 +39,11 @@ def test_auroc(spark, folder):
     pos, neg = np.array([x for x, y in s if y]), np.array([x for x, y in s if not y])
     ((got,),) = _agrees(spark, at, "auroc")
     assert got == pytest.approx(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)), abs=2e-6)
+
+
+def test_avg_precision(spark, folder):
+    at, rows = folder
+    s = [(round(-v, 6), same) for *_, v, same in _pairs(rows)]
+    score, same = np.array([x for x, _ in s]), np.array([y for _, y in s])
+    ((got,),) = _agrees(spark, at, "avg_precision")
+    assert got == pytest.approx(np.mean([same[score >= x].mean() for x, y in s if y]), abs=2e-6)
