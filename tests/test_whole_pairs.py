@@ -47,3 +47,11 @@ def test_avg_precision(spark, folder):
     score, same = np.array([x for x, _ in s]), np.array([y for _, y in s])
     ((got,),) = _agrees(spark, at, "avg_precision")
     assert got == pytest.approx(np.mean([same[score >= x].mean() for x, y in s if y]), abs=2e-6)
+
+
+def test_margin_predict(spark, folder):
+    at, rows = folder
+    ((tp, fp, fn, tn, *_),) = _agrees(spark, at, "margin_predict")
+    s = [(v <= 0.8, bool(same)) for *_, v, same in _pairs(rows)]
+    assert (tp, fp, fn, tn) == tuple(s.count(x) for x in ((True, True), (True, False), (False, True), (False, False)))
+    assert tp + fp + fn + tn == len(rows) ** 2
