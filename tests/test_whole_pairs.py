@@ -55,3 +55,10 @@ def test_margin_predict(spark, folder):
     s = [(v <= 0.8, bool(same)) for *_, v, same in _pairs(rows)]
     assert (tp, fp, fn, tn) == tuple(s.count(x) for x in ((True, True), (True, False), (False, True), (False, False)))
     assert tp + fp + fn + tn == len(rows) ** 2
+
+
+def test_mean_value_score(spark, folder):
+    at, rows = folder
+    got = dict(_agrees(spark, at, "mean_value_score"))
+    s = _pairs(rows)
+    assert got == {r[0]: pytest.approx(1 - np.log(np.mean([v for p, _, v, _ in s if p == r[0]]) + 1), abs=2e-6) for r in rows}
