@@ -62,3 +62,9 @@ def test_mean_value_score(spark, folder):
     got = dict(_agrees(spark, at, "mean_value_score"))
     s = _pairs(rows)
     assert got == {r[0]: pytest.approx(1 - np.log(np.mean([v for p, _, v, _ in s if p == r[0]]) + 1), abs=2e-6) for r in rows}
+
+
+def test_order_loss(spark, folder):
+    at, rows = folder
+    ((got,),) = _agrees(spark, at, "order_loss")
+    assert got == pytest.approx(sum(v if same else max(0.0, 0.1 - v) for *_, v, same in _pairs(rows)), abs=2e-4)
