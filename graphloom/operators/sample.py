@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import adjacency
 from graphloom.operators.enumerate import joined_shapes
-from graphloom.operators.traverse import _cut, bfs_ball, khop, neighborhood_edges, seed_sample
+from graphloom.operators.traverse import _cut, bfs_ball, khop, neighborhood_edges, neighbour_lists, seed_sample
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -34,21 +33,23 @@ def trials(vertices: DataFrame, n: int, low: int, high: int, seed: int = 42, law
     return start.withColumn("trial", rank.cast("long")).withColumn("size", size).select("trial", "id", "size")
 
 
-def random_trees(edges: DataFrame, starts: DataFrame, seed: int = 42, attempts: int = 3) -> DataFrame:
+def random_trees(edges: DataFrame, starts: DataFrame, seed: int = 42, attempts: int = 3, lists: DataFrame | None = None) -> DataFrame:
     """(trial, id, step): connected sets grown from starts(trial, id, size), a vertex a step, to exactly their size.
 
     All trials go in lock-step: a step joins the sets with the adjacency and takes, of each trial's frontier, the entry of
     least hash. An entry is an edge out of the set, so a vertex with several of them is likelier, as in a walk that keeps its
     frontier's repeats. Trials that get stuck start again with other hashes, `attempts` times in all; those still short are left out.
+    lists: neighbour_lists(), if there are some; the sets move to them.
     """
-    adj, done = _cut(adjacency(edges)), []
+    lists, done = neighbour_lists(edges) if lists is None else lists, []
     left = _cut(starts)
     top = left.agg(F.max("size").alias("m")).first()["m"] or 0
     for attempt in range(attempts):
         sets = left.select("trial", "id", F.lit(1).alias("step"))
         for step in range(2, top + 1):
             open_ = left.where(F.col("size") >= step).select("trial")
-            out = sets.join(open_, "trial").join(adj, "id").select("trial", "id", "nbr")
+            grown = sets.join(open_, "trial").select("trial", F.col("id").alias("at"))
+            out = lists.join(grown.hint("shuffle_hash"), "at").select("trial", F.col("at").alias("id"), F.explode("to").alias("nbr"))
             out = out.join(sets.select("trial", F.col("id").alias("nbr")), ["trial", "nbr"], "left_anti")
             pick = out.groupBy("trial").agg(F.min_by("nbr", F.xxhash64("trial", "id", "nbr", F.lit(step), F.lit(seed + 1000 * attempt))).alias("id"))
             sets = _cut(sets.unionByName(pick.withColumn("step", F.lit(step))))
@@ -60,23 +61,23 @@ def random_trees(edges: DataFrame, starts: DataFrame, seed: int = 42, attempts:
     return reduce(DataFrame.unionByName, done)
 
 
-def radial_sets(edges: DataFrame, starts: DataFrame, radius: int = 3) -> DataFrame:
+def radial_sets(edges: DataFrame, starts: DataFrame, radius: int = 3, lists: DataFrame | None = None) -> DataFrame:
     """(trial, id): the nearest `size` vertices within radius of each start, connected by construction; trials whose ball is smaller are left out."""
     most = starts.agg(F.max("size").alias("m")).first()["m"] or 0
-    ball = bfs_ball(edges, starts.select("id").distinct(), radius, max(most, 1))
+    ball = bfs_ball(edges, starts.select("id").distinct(), radius, max(most, 1), lists)
     rank = F.row_number().over(Window.partitionBy("trial").orderBy("depth", "id"))
     own = starts.withColumnRenamed("id", "seed").join(ball, "seed").withColumn("r", rank).where("r <= size")
     full = own.groupBy("trial", "size").agg(F.count("*").alias("n")).where("n = size").select("trial")
     return own.join(full, "trial", "left_semi").select("trial", "id")
 
 
-def baseline_queries(vertices: DataFrame, edges: DataFrame, sizes: DataFrame, kind: str = "tree", seed: int = 42) -> DataFrame:
-    """(pattern, id): for each pattern(pattern, size) a random connected set of equal size, by ball (radial) or by walk (tree): what found patterns are compared with."""
+def baseline_queries(vertices: DataFrame, edges: DataFrame, sizes: DataFrame, kind: str = "tree", seed: int = 42, lists: DataFrame | None = None) -> DataFrame:
+    """(pattern, id): for each pattern(pattern, size) a random connected set of equal size, by ball (radial) or by walk (tree): what found patterns are compared with. lists: neighbour_lists(), which both kinds can read."""
     n = sizes.count()
     start = trials(vertices, n, 1, 1, seed).select("trial", "id")
     rank = F.row_number().over(Window.orderBy("pattern"))  # one row a query pattern
     starts = _cut(start.join(sizes.withColumn("trial", rank.cast("long")), "trial"))
-    got = random_trees(edges, starts.select("trial", "id", "size"), seed) if kind == "tree" else radial_sets(edges, starts.select("trial", "id", "size"))
+    got = random_trees(edges, starts.select("trial", "id", "size"), seed, lists=lists) if kind == "tree" else radial_sets(edges, starts.select("trial", "id", "size"), lists=lists)
     return got.join(starts.select("trial", "pattern"), "trial").select("pattern", "id")
 
 

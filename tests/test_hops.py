@@ -2,6 +2,7 @@
 
 import random
 
+from graphloom.operators import sample as P
 from graphloom.operators import traverse as T
 
 
@@ -49,3 +50,18 @@ def test_khop_writes_no_last_layer(spark, monkeypatch):
 def test_khop_of_directed_edges(spark):
     e, s = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (2, 2)], "src long, dst long"), spark.createDataFrame([(1,), (4,)], "id long")
     assert {tuple(x) for x in T.khop(e, s, 2, both_ways=False).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (4, 4, 0), (4, 1, 1), (4, 2, 2)}
+
+
+def test_baselines_deal_the_graph_once(spark, monkeypatch, tmp_path):
+    from graphloom.queries import QUERIES
+
+    r = random.Random(6)
+    lines = [(o, p) for o in range(300) for p in r.sample(range(1, 60), 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"Brand#{p % 3}") for p in range(1, 60)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    rows, dealt, lists = written(monkeypatch, T, P), [], T.bucketed_lists
+    monkeypatch.setattr(T, "bucketed_lists", lambda arcs: dealt.append(arcs.columns) or lists(arcs))
+    got = QUERIES["baseline_queries"](spark, str(tmp_path)).collect()
+    assert len(dealt) == 1 and max(rows) < 100  # pairs of parts are not written besides
+    assert {(x.kind, x.pattern) for x in got} == {(k, i) for k in ("tree", "radial") for i in range(12)}
+    assert all(sum(x.kind == k and x.pattern == i for x in got) == 3 + i % 4 for k in ("tree", "radial") for i in range(12))
